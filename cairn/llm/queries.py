@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.cooccur import pairs
 from cairn.llm.leaks import find_leaks
+from cairn.llm.packing import VOCABULARY, pack_texts
+from cairn.llm.similar import neighbours, similar_pairs
 from cairn.llm.sql import ORACLES
 from cairn.llm.topn import top_n
 from cairn.llm.truncation import find_truncated, truncation_by_source
@@ -16,10 +18,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(tables(spark, d, "top100"), ["model", "user_idx"], "item_idx", "score", 20).select("model", "user_idx", "item_idx")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(neighbours(tables(spark, d, "two_tower_items"), "item_idx", "item_embedding", k=5, min_similarity=0.8))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs(tables(spark, d, "train"), "user_idx", "item_idx", min_support=12, min_lift=4.1).select("item_a", "item_b")
 
 
+def p7_windows(spark: SparkSession, d: str) -> DataFrame:
+    return pack_texts(tables(spark, d, "documents"), "doc_id", "text", "source", capacity=2048, vocabulary=VOCABULARY)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     found = find_leaks(tables(spark, d, "documents"), "doc_id", "text", tables(spark, d, "eval_items"), "item_id", "text", window_words=13)
     return found.select("doc_id", "item_id")
@@ -34,6 +44,6 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation_by_source(find_truncated(tables(spark, d, "documents"), "doc_id", "text", "source"), "source")
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p8_found": p8_found, "p9_found": p9_found, "p9_sources": p9_sources}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p7_windows": p7_windows, "p8_found": p8_found, "p9_found": p9_found, "p9_sources": p9_sources}
 
 __all__ = ["ORACLES", "QUERIES"]

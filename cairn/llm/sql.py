@@ -3,8 +3,8 @@
 _COSINE = "list_dot_product(a.v, b.v) / (a.norm * b.norm)"
 _USABLE = """
 u AS (SELECT item_idx, min(CAST(item_embedding AS DOUBLE[])) AS v FROM two_tower_items
-  WHERE item_embedding IS NOT NULL AND len(list_filter(item_embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(item_embedding, x -> x <> 0)) > 0 GROUP BY item_idx),
+  WHERE item_embedding IS NOT NULL AND len(list_filter(item_embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(item_embedding, lambda x: x <> 0)) > 0 GROUP BY item_idx),
 n AS (SELECT item_idx, v, sqrt(list_dot_product(v, v)) AS norm FROM u)
 """
 ORACLES = {

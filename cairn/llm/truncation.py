@@ -81,7 +81,7 @@ SELECT concat(head, left(word, k)) AS kind, sum(n) AS longer FROM (
   LEFT SEMI JOIN (SELECT DISTINCT left(kind, length(kind) - length(substring_index(kind, ' ', -1))) AS h FROM cairn_finals) ON head = h)
 GROUP BY 1
 """
-_LAST_LINE = r"regexp_extract(regexp_replace(regexp_replace(text, '\\s+$', ''), '" + _MARKS + r"', ''), '[^\\r\\n]*$', 0)"
+_LAST_LINE = r"substring_index(translate(trim(TRAILING ' \t\r\n\u00a0' FROM text), '\r', '\n'), '\n', -1)"
 #: The last line of each text: its final trigram, and the whole line if it has 3 to 6 tokens and one sentence.
 ENDINGS = rf"""
 SELECT id, source, gram, IF(substring_index(line, ' ', 1) = '\u0002' AND size(split(line, ' ')) BETWEEN 6 AND 9 AND instr(line, '\u0003') = 0, substring(line, 3, length(line) - 4), '') AS whole FROM (
