@@ -57,7 +57,7 @@ def _lists(spark: SparkSession, d: str, split: DataFrame) -> DataFrame:
 
 
 def ev_interactions(spark, d):
-    return views.ev_interactions(spark, d).select("user", "item", F.round("rating", 4).alias("rating"), "ts")
+    return views.ev_interactions(spark, d).select("user", "item", F.round(F.col("rating").cast("double"), 4).alias("rating"), "ts")
 
 
 def item_genres(spark, d):
