@@ -1,7 +1,8 @@
 """Pairwise ranking models in NumPy, trained partition by partition and averaged.
 
-An epoch is one Spark job. Training rows are dealt to blocks by user, so that a user's factors live in one
-block; what all users share (item factors, or towers and item embeddings) is broadcast at the epoch's start,
+An epoch is one Spark job. Training rows are dealt to blocks of bounded size by user, so that a user's factors
+live in one block; only a user with more rows than a block holds is spread over all, and averaged like what
+is shared. What all users share (item factors, or towers and item embeddings) is broadcast at the epoch's start,
 trained on by each block, and averaged by the number of steps afterwards. Only gradients of touched rows move.
 """
 
@@ -171,15 +172,17 @@ def _fresh_user(user: int, dim: int, seed: int) -> np.ndarray:
 def _epoch(state, config: TrainConfig, epoch: int, steps: int, n_items: int):
     """One block: trains on a copy of what is shared; gives its users' rows, and one row of what is shared."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         shared, hot = state.value
         block = int(rows["block"].iloc[0])
         rows = rows.sort_values(["user", "item"], kind="stable")
         ids, local = np.unique(rows["user"].to_numpy(), return_inverse=True)
-        first = rows.drop_duplicates("user").set_index("user").loc[ids]
+        first = members.set_index("member").loc[ids]
         own = np.stack([np.asarray(v) if v is not None else _fresh_user(int(u), config.dim, config.seed) for u, v in zip(ids, first["vec"])])
         users, items = rows["user"].to_numpy(), rows["item"].to_numpy()
-        sampler = NegativeSampler(users.astype(np.int64) * n_items + items, n_items, [config.seed + 31, epoch, block])
+        keys = [users.astype(np.int64) * n_items + items]
+        keys += [int(u) * n_items + np.asarray(seen, dtype=np.int64) for u, seen in zip(ids, first["seen"]) if seen is not None]
+        sampler = NegativeSampler(np.concatenate(keys), n_items, [config.seed + 31, epoch, block])
         rng = np.random.default_rng([config.seed, epoch, block])
         data = local, users, items
         if config.model == "mf":
@@ -188,7 +191,7 @@ def _epoch(state, config: TrainConfig, epoch: int, steps: int, n_items: int):
             profile = np.stack([np.asarray(p, dtype=np.float64) for p in first["profile"]])
             new, own, total = _tower_block(shared, own, data, config, sampler, steps, rng, profile, hot)
         weights = np.concatenate([x.ravel() for x in new])
-        out = pd.DataFrame({"kind": "user", "id": ids, "x": [v.tolist() for v in own], "loss": 0.0, "steps": 0})
+        out = pd.DataFrame({"kind": "user", "id": ids, "x": [v.tolist() for v in own], "loss": 0.0, "steps": np.bincount(local, minlength=len(ids))})
         # what is shared comes in pieces, to be averaged without any task or the driver holding all blocks' copies
         pieces = [weights[lo : lo + 65_536] for lo in range(0, len(weights), 65_536)]
         more = pd.DataFrame({"kind": "shared", "id": range(len(pieces)), "x": [p.tolist() for p in pieces], "loss": total, "steps": steps})
@@ -203,11 +206,12 @@ def _average(parts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": [parts["id"].iloc[0]], "x": [mean.tolist()], "loss": [parts["loss"].sum() / steps.sum()]})
 
 
-def train(rows: DataFrame, n_items: int, config: TrainConfig, profiles: DataFrame | None = None, hot: np.ndarray | None = None) -> tuple[DataFrame, Model]:
+def train(rows: DataFrame, n_items: int, config: TrainConfig, profiles: DataFrame | None = None, hot: np.ndarray | None = None, block_rows: int = 2_000_000) -> tuple[DataFrame, Model]:
     """Users' vectors (user, vec) and the model, from (user, item) with dense item ids below ``n_items``.
 
     The two-tower model also takes ``profiles`` (user, profile: an array as long as there are genres) and
-    ``hot``, items by genres. Losses are means over the steps of all blocks, one an epoch.
+    ``hot``, items by genres. Losses are means over the steps of all blocks, one an epoch. There are as many
+    blocks as the settings say, or more where one would hold over ``block_rows`` rows.
     """
     from cairn.session import settle
 
@@ -221,24 +225,35 @@ def train(rows: DataFrame, n_items: int, config: TrainConfig, profiles: DataFram
             raise ValueError("the two-tower model needs profiles and genres")
         towers = [Tower.new(config.dim + hot.shape[1], config.hidden, config.dim, rng) for _ in range(2)]
         shared = [items, *towers[0].parts(), *towers[1].parts()]
-    data = rows.select("user", "item", F.pmod(F.xxhash64("user"), F.lit(config.blocks)).cast("int").alias("block"))
-    data = settle(data.join(profiles, "user") if profiles is not None else data)
-    n = data.count()
+    n = rows.count()
     if not n:
         raise ValueError("no training rows")
+    blocks = max(config.blocks, math.ceil(2 * n / block_rows))
+    large = rows.groupBy("user").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block_rows // 2).select("user")
+    large = settle(large.join(rows, "user").groupBy("user").agg(F.collect_set("item").alias("seen")))  # at most the catalogue
+    data = rows.select("user", "item").join(F.broadcast(large.select("user", F.lit(True).alias("spread"))), "user", "left")  # at most 2 n / block_rows rows
+    key = F.when(F.col("spread"), F.xxhash64("user", "item")).otherwise(F.xxhash64("user"))
+    data = settle(data.select("user", "item", F.pmod(key, F.lit(blocks)).cast("int").alias("block")))
+    members = data.select("user", "block").distinct().join(large, "user", "left")
+    nothing = F.lit(None).cast("array<double>").alias("profile")
+    members = members.join(profiles, "user") if profiles is not None else members.select("*", nothing)
+    members = settle(members)
     steps = config.steps_per_epoch or math.ceil(n / config.batch_size)
-    per_block = max(1, math.ceil(steps / config.blocks))
+    per_block = max(1, math.ceil(steps / blocks))
     model, users = Model(shared), data.select("user").distinct().withColumn("vec", F.lit(None).cast("array<double>"))
     for epoch in range(config.epochs):
         state = spark.sparkContext.broadcast((model.shared, hot))
         schema = "kind string, id long, x array<double>, loss double, steps int"
-        found = settle(data.join(users, "user").groupBy("block").applyInPandas(_epoch(state, config, epoch, per_block, n_items), schema))
+        own = members.join(users, "user").select(F.col("user").alias("member"), F.col("block").alias("home"), "vec", "profile", "seen").groupBy("home")
+        found = settle(data.groupBy("block").cogroup(own).applyInPandas(_epoch(state, config, epoch, per_block, n_items), schema))
         pieces = found.where("kind = 'shared'").groupBy("id").applyInPandas(_average, "id long, x array<double>, loss double").orderBy("id").collect()
         flat = np.concatenate([np.asarray(p["x"]) for p in pieces])
         ends = np.cumsum([x.size for x in model.shared])[:-1]
         model.shared = [part.reshape(x.shape) for part, x in zip(np.split(flat, ends), model.shared)]
         model.losses.append(float(pieces[0]["loss"]))
-        users = found.where("kind = 'user'").select(F.col("id").cast("int").alias("user"), F.col("x").alias("vec"))
+        weighted = [(F.sum(F.col("x")[i] * F.col("steps")) / F.sum("steps")).alias(f"d{i}") for i in range(config.dim)]
+        users = found.where("kind = 'user'").groupBy(F.col("id").cast("int").alias("user")).agg(*weighted)
+        users = users.select("user", F.array(*(F.col(f"d{i}") for i in range(config.dim))).alias("vec"))
     if config.model == "two-tower":
         users = users.join(profiles, "user").mapInPandas(_encode_users(spark.sparkContext.broadcast(Tower(*model.shared[1:5]))), "user int, vec array<double>")
     return settle(users), model
