@@ -6,8 +6,8 @@ delimiter ("/" and " / " are two kinds) separates values with a probability of i
 one. A field's probability under one way of cutting it is the product of its values' frequencies and of its
 delimiters' probabilities. Expectation-maximisation learns all of these from the whole column, so that a
 delimiter inside a value ("A/B", where A and B never stand alone) is told from one between values. Copies of
-a field say nothing new about where it is cut: each distinct field counts once. A joined value has to occur
-in more than one field. A quoted span between delimiters is one value, whatever it holds; quotes are undoubled.
+a field say nothing new about where it is cut: each distinct field counts once. A joined value counts once a
+field, however often it is repeated there, and has to occur in more than one. A quoted span between delimiters is one value, whatever it holds; quotes are undoubled.
 
 No vocabulary is broadcast: in each round the edges of all lattices are joined with the values' current
 frequencies, the expected counts of each lattice are computed batchwise, and are summed by value. Equal
@@ -122,13 +122,20 @@ def _expected(cuts: dict[str, float]):
                     forward[j] = plus(forward[j], forward[i] + w)
                 for i, j, w, _ in reversed(logs):
                     backward[i] = plus(backward[i], backward[j] + w)
+                joined: dict[str, float] = {}
                 for i, j, w, e in logs:
                     c = math.exp(forward[i] + w + backward[j] - forward[last])
-                    whole = "value", e["value"], len(e["inside"]) > 0
-                    out[whole] = out.get(whole, 0.0) + c
+                    if len(e["inside"]):
+                        joined[e["value"]] = joined.get(e["value"], 0.0) + c
+                    else:
+                        whole = "value", e["value"], False
+                        out[whole] = out.get(whole, 0.0) + c
                     if j < last:
                         cut = "sep", e["sep"], False
                         out[cut] = out.get(cut, 0.0) + c
+                for value, c in joined.items():
+                    whole = "value", value, True
+                    out[whole] = out.get(whole, 0.0) + min(c, 1.0)
             yield pd.DataFrame([(*k, c) for k, c in out.items()], columns=["kind", "value", "joined", "c"])
 
     return run
@@ -168,7 +175,10 @@ def split_packed(
     fields = rows.select("field").distinct()
     edges = settle(fields.mapInPandas(_edges(max_parts, delimiters), "field string, i int, j int, value string, inside array<string>, sep string"))
     joined = F.size("inside") > 0
-    model = _frequencies(edges.groupBy("value", joined.alias("joined")).agg(F.sum(1.0 / (1.0 + F.size("inside"))).alias("c")))
+    per_field = edges.groupBy("field", "value", joined.alias("joined"))
+    per_field = per_field.agg(F.max(1.0 / (1.0 + F.size("inside"))).alias("most"), F.count(F.lit(1)).alias("times"))
+    first = F.when(F.col("joined"), F.col("most")).otherwise(F.col("times"))
+    model = _frequencies(per_field.groupBy("value", "joined").agg(F.sum(first).alias("c")))
     all_marks = {r["sep"]: r["c"] for r in edges.where(~joined & (F.col("sep") != "")).groupBy("sep").agg(F.count(F.lit(1)).alias("c")).collect()}
     cuts = dict.fromkeys([*all_marks, ""], 0.5)
     for _ in range(rounds):
