@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from cairn.session import settle
 
 #: Weight of the wider class, in occurrences; of the trigram beside whole lines.
-PRIOR, LINE_PRIOR = 30.0, 5.0
+PRIOR, LINE_PRIOR = 30.0, 10.0
 #: A final trigram that ends lines and sentences in a smaller share of cases was cut.
 ENDS = 0.15
 
@@ -72,14 +72,15 @@ SELECT kind, sum(n) AS n, sum(ends) AS ends FROM (
     GROUP BY kind))
 GROUP BY kind
 """
-#: How often words begin as a final word does, in its place, and go on.
+#: How often words begin as a final word does, in its place, and go on: for trigrams and lines as they are, and for classes.
 LONGER = r"""
-SELECT concat(head, left(word, k)) AS kind, sum(n) AS longer FROM (
-  SELECT head, word, n, explode(sequence(1, length(word) - 1)) AS k FROM (
-    SELECT left(kind, length(kind) - length(substring_index(kind, ' ', -1))) AS head, substring_index(kind, ' ', -1) AS word, n
-    FROM cairn_wider WHERE kind RLIKE '(^| )\\p{Ll}\\p{L}+$')
-  LEFT SEMI JOIN (SELECT DISTINCT left(kind, length(kind) - length(substring_index(kind, ' ', -1))) AS h FROM cairn_finals) ON head = h)
-GROUP BY 1
+SELECT raw, concat(head, left(word, k)) AS kind, sum(n) AS longer FROM (
+  SELECT raw, head, word, n, explode(sequence(1, length(word) - 1)) AS k FROM (
+    SELECT raw, left(kind, length(kind) - length(substring_index(kind, ' ', -1))) AS head, substring_index(kind, ' ', -1) AS word, n FROM (
+      SELECT false AS raw, kind, n FROM cairn_wider WHERE kind RLIKE '(^| )\\p{Ll}\\p{L}+$'
+      UNION ALL SELECT true, gram, n FROM cairn_grams WHERE gram RLIKE ' \\p{L}\\p{L}+$'))
+  LEFT SEMI JOIN (SELECT DISTINCT raw AS r, left(kind, length(kind) - length(substring_index(kind, ' ', -1))) AS h FROM cairn_finals) ON raw = r AND head = h)
+GROUP BY 1, 2
 """
 _LAST_LINE = r"substring_index(translate(trim(TRAILING ' \t\r\n\u00a0' FROM text), '\r', '\n'), '\n', -1)"
 #: The last line of each text: its final trigram, and the whole line if it has 3 to 6 tokens and one sentence.
@@ -97,22 +98,18 @@ def _smoothed(own: str, longer: str, prior: float, wider: str) -> str:
 
 
 def _judged(finals: DataFrame, grams: DataFrame, wider: DataFrame, longer: DataFrame, p0: float) -> DataFrame:
+    """(gram, whole, p): from the last token alone to the whole line, each level smoothed by the one before."""
     finals = finals.withColumns({"k2": F.substring_index("kind", " ", -2), "k1": F.substring_index("kind", " ", -1)}).withColumnRenamed("kind", "k3")
-    p = F.lit(p0)
-    for level in (1, 2, 3):
-        counts = wider.join(longer, "kind", "full").select(
-            F.col("kind").alias(f"k{level}"), F.col("n").alias(f"n{level}"), F.col("ends").alias(f"ends{level}"), F.coalesce("longer", F.lit(0)).alias(f"l{level}")
-        )
-        finals = finals.join(counts, f"k{level}", "left").withColumn("p", p)
-        p = F.expr(_smoothed(str(level), f"coalesce(l{level}, 0)", PRIOR, "p"))
-    raw = grams.select("gram", F.col("n").alias("n4"), F.col("ends").alias("ends4"))
-    finals = finals.withColumn("p", p).join(raw, "gram", "left")
-    # longer words in a trigram's place are known by class only; they count for the trigram in its share of the class
-    share = "coalesce(l3, 0) * least(1, coalesce(n4, 1) / greatest(coalesce(n3, 1), 1))"
-    finals = finals.withColumn("p", F.expr(_smoothed("4", share, PRIOR, "p")))
-    lines = grams.select(F.col("gram").alias("whole"), F.col("n").alias("n5"), F.col("ends").alias("ends5"))
-    finals = finals.join(lines, "whole", "left")
-    return finals.withColumn("p", F.when(F.col("whole") != "", F.expr(_smoothed("5", "0", LINE_PRIOR, "p"))).otherwise(F.col("p"))).select("gram", "whole", "p")
+    finals = finals.withColumn("p", F.lit(p0))
+    as_is = grams.select(F.col("gram").alias("kind"), "n", "ends")
+    for level, (key, table, raw) in enumerate((("k1", wider, False), ("k2", wider, False), ("k3", wider, False), ("gram", as_is, True), ("whole", as_is, True)), 1):
+        names = (F.col("kind").alias(key), F.col("n").alias(f"n{level}"), F.col("ends").alias(f"ends{level}"))
+        finals = finals.join(table.select(*names), key, "left")
+        mine = longer.where(F.col("raw") == raw).select(F.col("kind").alias(key), F.col("longer").alias(f"l{level}"))
+        finals = finals.join(mine, key, "left")
+        p = F.expr(_smoothed(str(level), f"coalesce(l{level}, 0)", LINE_PRIOR if level == 5 else PRIOR, "p"))
+        finals = finals.withColumn("p", p if level < 5 else F.when(F.col("whole") != "", p).otherwise(F.col("p")))
+    return finals.select("gram", "whole", "p")
 
 
 def find_truncated(df: DataFrame, doc_id: str, text: str, source: str | None = None) -> DataFrame:
@@ -131,11 +128,15 @@ def find_truncated(df: DataFrame, doc_id: str, text: str, source: str | None = N
     wider.createOrReplaceTempView("cairn_wider")
     ends = settle(spark.sql(ENDINGS))
     finals = ends.select("gram", "whole").distinct().withColumn("kind", F.expr(_class("gram")))
-    kinds = finals.select(F.explode(F.array("kind", F.substring_index("kind", " ", -2), F.substring_index("kind", " ", -1))).alias("kind")).distinct()
+    kinds = F.array(*(F.struct(F.lit(False).alias("raw"), k.alias("kind")) for k in (F.col("kind"), F.substring_index("kind", " ", -2), F.substring_index("kind", " ", -1))),
+                    *(F.struct(F.lit(True).alias("raw"), F.col(k).alias("kind")) for k in ("gram", "whole")))
+    kinds = settle(finals.select(F.explode(kinds).alias("k")).select("k.*").distinct())
     kinds.createOrReplaceTempView("cairn_finals")
-    longer = spark.sql(LONGER).join(kinds, "kind", "left_semi")
+    longer = settle(spark.sql(LONGER).join(kinds, ["raw", "kind"], "left_semi"))
     total = wider.where("instr(kind, ' ') = 0").agg(F.sum("ends").alias("e"), F.sum("n").alias("n")).first()
-    judged = _judged(finals, grams, wider.join(kinds, "kind", "left_semi"), longer, (total["e"] or 0) / max(total["n"] or 1, 1))
+    asked = {raw: kinds.where(F.col("raw") == raw).select("kind") for raw in (True, False)}
+    grams = grams.join(asked[True], F.col("gram") == F.col("kind"), "left_semi")
+    judged = _judged(finals, grams, wider.join(asked[False], "kind", "left_semi"), longer, (total["e"] or 0) / max(total["n"] or 1, 1))
     # many texts share one ending: its one verdict is copied, its texts are spread
     judged = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
     ends = ends.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int"))
