@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import json
 import logging
+import shutil
+import urllib.request
 import zipfile
 from collections.abc import Callable, Sequence
 from pathlib import Path
@@ -18,6 +20,18 @@ MOVIES = "movieId INT, title STRING, genres STRING"
 log = logging.getLogger("cairn")
 
 
+def fetch(url: str, target: str, force: bool = False) -> Path:
+    """Download a file once; a copy that is there is kept unless ``force``. A broken download leaves no file."""
+    path = Path(target)
+    if force or not path.exists():
+        path.parent.mkdir(parents=True, exist_ok=True)
+        part = path.with_name(path.name + ".part")
+        with urllib.request.urlopen(url) as source, open(part, "wb") as sink:
+            shutil.copyfileobj(source, sink, 1 << 20)
+        part.replace(path)
+    return path
+
+
 def extract(archive: str, folder: str) -> Path:
     """Unpack a ZIP file after its checksums held; members may not leave the folder."""
     with zipfile.ZipFile(archive) as z:

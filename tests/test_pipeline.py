@@ -65,6 +65,10 @@ def test_files(spark, tmp_path, rows):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("d/x.txt", "hello")
     assert (files.extract(str(tmp_path / "a.zip"), str(tmp_path / "out")) / "d/x.txt").read_text() == "hello"
+    copy = files.fetch((tmp_path / "a.zip").as_uri(), str(tmp_path / "got/a.zip"))
+    assert copy.read_bytes() == (tmp_path / "a.zip").read_bytes()
+    copy.write_bytes(b"kept")
+    assert files.fetch((tmp_path / "a.zip").as_uri(), str(copy)).read_bytes() == b"kept"
     damaged = (tmp_path / "a.zip").read_bytes().replace(b"hello", b"hellO", 1)
     (tmp_path / "b.zip").write_bytes(damaged)
     with pytest.raises(RuntimeError):
