@@ -1,9 +1,9 @@
 """The most similar vectors of every vector, by additive quantisation and exact reranking.
 
 A vector is the sum of one full-dimensional codeword from each of ``levels`` codebooks, fitted by residual k-means
-to a bounded sample and chosen for each vector by beam search. What is stored of a vector is its codes and the
-norm of that sum. Inner products with a query are sums of entries of one lookup table, the query's products
-with all codewords.
+to a bounded sample and chosen for each vector by beam search. What is stored of a vector is its codes, the
+norm of that sum, and the length of what it leaves. A query's inner products with all sums are sums of entries of
+one lookup table, its products with all codewords; with the norms they give its distances to the sums.
 
 The index is laid out by cells, the nearest of a coarse codebook whose size grows with the square root of the
 collection. A vector's codes go to its ``spill`` nearest cells, as they are small; a query, which is large,
@@ -117,6 +117,7 @@ def _encode(model, beam: int, spill: int):
                     {
                         "item": part["item"].to_numpy(),
                         "codes": [c.tobytes() for c in codes],
+                        "norm": np.linalg.norm(sums, axis=1),
                         "error": np.linalg.norm(x - sums, axis=1),
                         "cells": list(q.cells(x, spill)),
                         "q": [v.tobytes() for v in x.astype(np.float16)],
@@ -136,6 +137,7 @@ def _score(model, rerank: int, min_similarity: float, margin: float):
             codes = codes.sort_values("two")
             c = np.frombuffer(b"".join(codes["codes"]), dtype=np.uint8).reshape(len(codes), -1).astype(np.intp)
             items, error = codes["two"].to_numpy(), codes["error"].to_numpy().astype(np.float32)
+            half = codes["norm"].to_numpy().astype(np.float32) ** 2 / 2
             for lo in range(0, len(queries), 256):
                 part = queries.iloc[lo : lo + 256]
                 x = np.frombuffer(b"".join(part["q"]), dtype=np.float16).reshape(len(part), -1).astype(np.float32)
@@ -146,6 +148,7 @@ def _score(model, rerank: int, min_similarity: float, margin: float):
                 score[items[None, :] == mine[:, None]] = -np.inf
                 if min_similarity > -1:
                     score[score + margin * error < min_similarity] = -np.inf
+                score -= half  # in order of distance to the sums
                 keep = min(rerank, len(items))
                 best = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep < len(items) else np.tile(np.arange(keep), (len(part), 1))
                 good = np.isfinite(np.take_along_axis(score, best, 1))
@@ -198,16 +201,16 @@ def neighbours(
     cells = 1 << max(2, min(12, round(math.log2(math.sqrt(n)))))
     model = spark.sparkContext.broadcast(fit(_unit(sample["v"]).astype(np.float32), min(cells, len(sample)), levels, min(words, len(sample))))
     parts = max(spark.sparkContext.defaultParallelism, n // 50_000)
-    encoded = settle(rows.repartition(parts).mapInPandas(_encode(model, beam, spill), f"item {kind}, codes binary, error float, cells array<int>, q binary"))
+    encoded = settle(rows.repartition(parts).mapInPandas(_encode(model, beam, spill), f"item {kind}, codes binary, norm float, error float, cells array<int>, q binary"))
 
-    codes = encoded.select(F.col("item").alias("two"), F.col("codes").alias("codes"), F.col("error").alias("error"), F.explode("cells").alias("cell"))
+    codes = encoded.select(F.col("item").alias("two"), F.col("codes").alias("codes"), F.col("norm").alias("norm"), F.col("error").alias("error"), F.explode("cells").alias("cell"))
     queries = encoded.select(F.col("item").alias("one"), F.col("q").alias("q"), F.col("cells")[0].alias("cell"))
     # sizes of at most 4096 cells; blocks follow from them, so that no unit is larger than a block by a block
     sizes = codes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("code_blocks"))
     asked = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("query_blocks"))
     plan = F.broadcast(settle(sizes.join(asked, "cell")))
     mine = F.pmod(F.xxhash64("two"), F.col("code_blocks")).cast("int")
-    codes = codes.join(plan, "cell").select("two", "codes", "error", "cell", mine.alias("c"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("b"))
+    codes = codes.join(plan, "cell").select("two", "codes", "norm", "error", "cell", mine.alias("c"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("b"))
     mine = F.pmod(F.xxhash64("one"), F.col("query_blocks")).cast("int")
     queries = queries.join(plan, "cell").select("one", "q", "cell", F.explode(F.sequence(F.lit(0), F.col("code_blocks") - 1)).alias("c"), mine.alias("b"))
     unit = ["cell", "c", "b"]
