@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cairn.session import settle
 
 #: Pairs gathered in a task before they are merged into stripes.
-BUFFER = 4_000_000
+BUFFER = 1_000_000
 STRIPE = "a long, b array<long>, n array<long>"
 _STRIPES = pa.schema([("a", pa.int64()), ("b", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
 
