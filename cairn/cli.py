@@ -50,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.stage == "rerank":
         X.rerank(spark, data, read(f"top{a.candidate_k}"), a.out, a.model, a.output_k, RerankWeights(*a.weights))
     elif a.stage == "validate":
-        found = {f"{a.model}_lists": read(f"top{a.candidate_k}"), f"{a.model}_kept": read(f"rerank_top{a.output_k}")}
+        found = {f"{a.model}_lists": read(f"top{a.candidate_k}"), f"{a.model}_kept": read(f"rerank_top{a.output_k}"), f"{a.model}_users": read("users"), f"{a.model}_items": read("items")}
         return int(not all(r["ok"] for r in X.validate(data, found, a.out, a.min_interactions, a.candidate_k, a.output_k).collect()))
     return 0
 

@@ -24,6 +24,12 @@ def split_checks(split: DataFrame, minimum: int) -> list[DataFrame]:
     return checks
 
 
+def stats_checks(split: DataFrame, stats: dict) -> list[DataFrame]:
+    """The rows of each split are as many as the statistics say."""
+    counts = split.agg(*(F.count_if(F.col("split") == s).alias(s) for s in ("train", "val", "test")))
+    return [_none(counts.where(F.col(s) != F.lit(stats[f"n_{s}"])), f"{s}_count_matches_stats") for s in ("train", "val", "test")]
+
+
 def profile_checks(profiles: DataFrame, tolerance: float = 1e-5) -> list[DataFrame]:
     sums = profiles.groupBy("user").agg(F.sum("p").alias("s"))
     return [_none(sums.where(F.abs(F.col("s") - 1) > tolerance), "profiles_sum_to_one")]

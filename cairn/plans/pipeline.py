@@ -131,10 +131,16 @@ def rerank(spark: SparkSession, data: dict[str, DataFrame], lists: DataFrame, ou
 
 def validate(data: dict[str, DataFrame], found: dict[str, DataFrame], out: str, minimum: int, top: int, keep: int) -> DataFrame:
     split = data["split"]
-    checks = V.split_checks(split, minimum) + V.profile_checks(data["profiles"])
+    checks = V.split_checks(split, minimum) + V.profile_checks(data["profiles"]) + V.stats_checks(split, files.load_json(f"{out}/stats.json"))
     checks += V.candidate_checks(data["candidates"], D.latest(split), split)
     for model in sorted({n.rpartition("_")[0] for n in found if n.endswith("_lists")}):
         lists, kept = found[f"{model}_lists"], found[f"{model}_kept"]
+        for side in ("users", "items"):
+            vectors = found[f"{model}_{side}"]
+            checks += V.embedding_checks(f"{model}_{side}", vectors, len(vectors.first()["vec"]), unit=model == "two-tower")
+        if f"{model}_near" in found:
+            near = found[f"{model}_near"]
+            checks += [V.self_check(near), V.list_checks(f"{model}_neighbours", near, "inner_product", 0, "item", "neighbor")[2]]
         checks += V.list_checks(f"{model}_top{top}", lists, "score", top) + [V.unseen_check(f"{model}_top{top}_unseen", lists, split.where("split = 'train'"))]
         checks += V.list_checks(f"{model}_top{keep}", kept, "objective", keep)[:2] + [V.containment_check(f"{model}_top{keep}_in_top{top}", kept, lists)]
     report = V.report(checks)
@@ -151,8 +157,9 @@ def run_all(spark: SparkSession, raw: str, out: str, config: PrepareConfig, mode
         for split in ("val", "test"):
             evaluate(data, users, items, out, m.model, split)
         found[f"{m.model}_lists"] = recommend(spark, data, users, items, out, m.model, top)
+        found[f"{m.model}_users"], found[f"{m.model}_items"] = users, items
         if m.model == "two-tower":
-            similar_items(spark, items, out, m.model, near)
+            found[f"{m.model}_near"] = similar_items(spark, items, out, m.model, near)
         found[f"{m.model}_kept"] = rerank(spark, data, found[f"{m.model}_lists"], out, m.model, keep)
     report = validate(data, found, out, config.min_interactions, top, keep)
     V.require_ok(report)

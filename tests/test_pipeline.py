@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from cairn.config import PrepareConfig, TrainConfig
+from cairn.operators import validation
 from cairn.plans import pipeline
 from cairn.sources import files
 
@@ -30,7 +31,8 @@ def test_run_all(spark, raw, tmp_path):
     config = PrepareConfig(2, 5, 7)
     models = [TrainConfig("mf", dim=4, batch_size=16, blocks=2), TrainConfig("two-tower", dim=4, hidden=8, batch_size=16, blocks=2)]
     report = pipeline.run_all(spark, raw, out, config, models, top=6, keep=3, near=3)
-    assert all(r["ok"] for r in report.collect())
+    checks = {r["check"]: r["ok"] for r in report.collect()}
+    assert all(checks.values()) and {"train_count_matches_stats", "two-tower_users_unit_length", "two-tower_neighbours_sorted"} <= set(checks)
     stats = files.load_json(f"{out}/stats.json")
     assert (stats["n_users"], stats["n_raw"]) == (12, 144) and stats["n_interactions"] == stats["n_train"] + stats["n_val"] + stats["n_test"]
     quality = files.load_json(f"{out}/mf_quality.json")
@@ -38,6 +40,8 @@ def test_run_all(spark, raw, tmp_path):
     sample = spark.read.csv(f"{out}/mf_sample_recommendations", header=True, escape='"')
     assert sample.columns == ["user_idx", "userId", "rank", "item_idx", "movieId", "title", "genres", "rerank_score"] and sample.count() == 36
     assert "Film \"" in sample.first()["title"]
+    (wrong,) = validation.stats_checks(spark.read.parquet(f"{out}/split"), stats | {"n_val": stats["n_val"] + 1})[1:2]
+    assert wrong.first()["violations"] == 1
     again = pipeline.prepare(spark, raw, out, config)
     assert again["candidates"].count() == 12 * 2 * 6
 
