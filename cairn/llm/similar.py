@@ -8,12 +8,17 @@ one lookup table, its products with all codewords; with the norms they give its
 The index is laid out by cells, the nearest of a coarse codebook whose size grows with the square root of the
 collection. A vector's codes go to its ``spill`` nearest cells, as they are small; a query, which is large,
 goes to its nearest cell only. A cell of any size is cut into blocks of codes and blocks of queries; each pair
-of blocks is one unit of work. The best ``rerank`` of a query in each unit, and no pair whose score plus a
-margin for the quantiser's error is below ``min_similarity``, go on to be scored exactly.
+of blocks is one unit of work. Every pair goes on to be scored exactly, unless its score plus a margin for the
+quantiser's error is below ``min_similarity``, or below the ``k``-th best score less that margin; the best
+``rerank`` of a query in each unit go on in any case.
+
+Items of one direction are one class. Classes are indexed and searched by their first item; what is found is
+then given to all items of a class, each neighbouring class standing for its ``k + 1`` smallest items.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +32,12 @@ from pyspark.sql import functions as F
 from cairn.session import settle
 
 
+#: Directions and similarities that agree to so many decimals are equal: scaling a vector moves the last bits only.
+DIGITS = 12
+#: What a product loses by the query's 11 bits, as a share of the sum's length.
+HALF = 2.0**-11
+
+
 def _assign(x: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.argmin((words**2).sum(1) - 2.0 * x @ words.T, axis=1)
 
@@ -105,6 +116,14 @@ def _unit(series: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _classed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The direction of each vector, to DIGITS, as a key."""
+    for batch in batches:
+        if len(batch):
+            x = np.rint(_unit(batch["v"]) * 10.0**DIGITS).astype(np.int64)
+            yield batch.assign(key=[hashlib.sha256(r.tobytes()).digest() for r in x])
+
+
 def _encode(model, beam: int, spill: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = model.value
@@ -127,7 +146,16 @@ def _encode(model, beam: int, spill: int):
     return run
 
 
-def _score(model, rerank: int, min_similarity: float, margin: float):
+def _contenders(dot: np.ndarray, half: np.ndarray, slack: np.ndarray, k: int, rerank: int) -> np.ndarray:
+    """Of each row, all that may be among its ``k`` best, and the ``rerank`` nearest with all that tie with the last."""
+    k, rerank = min(k, dot.shape[1]), min(rerank, dot.shape[1])
+    sure = -np.partition(slack - dot, k - 1, axis=1)[:, k - 1 : k]
+    near = dot - half  # in order of distance to the sums
+    last = -np.partition(-near, rerank - 1, axis=1)[:, rerank - 1 : rerank]
+    return np.isfinite(dot) & ((dot + slack >= sure) | (near >= last))
+
+
+def _score(model, k: int, rerank: int, min_similarity: float, margin: float):
     """One unit: all queries of one block against all codes of one block."""
 
     def run(queries: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
@@ -136,8 +164,8 @@ def _score(model, rerank: int, min_similarity: float, margin: float):
             books = model.value.books
             codes = codes.sort_values("two")
             c = np.frombuffer(b"".join(codes["codes"]), dtype=np.uint8).reshape(len(codes), -1).astype(np.intp)
-            items, error = codes["two"].to_numpy(), codes["error"].to_numpy().astype(np.float32)
-            half = codes["norm"].to_numpy().astype(np.float32) ** 2 / 2
+            items, norm = codes["two"].to_numpy(), codes["norm"].to_numpy().astype(np.float32)
+            slack = margin * codes["error"].to_numpy().astype(np.float32) + HALF * norm
             for lo in range(0, len(queries), 256):
                 part = queries.iloc[lo : lo + 256]
                 x = np.frombuffer(b"".join(part["q"]), dtype=np.float16).reshape(len(part), -1).astype(np.float32)
@@ -147,12 +175,13 @@ def _score(model, rerank: int, min_similarity: float, margin: float):
                     score += (x @ words.T)[:, c[:, level]]
                 score[items[None, :] == mine[:, None]] = -np.inf
                 if min_similarity > -1:
-                    score[score + margin * error < min_similarity] = -np.inf
-                score -= half  # in order of distance to the sums
-                keep = min(rerank, len(items))
-                best = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep < len(items) else np.tile(np.arange(keep), (len(part), 1))
-                good = np.isfinite(np.take_along_axis(score, best, 1))
-                out.append(pd.DataFrame({"one": np.repeat(mine, keep)[good.ravel()], "two": items[best][good]}))
+                    score[score + slack < min_similarity] = -np.inf
+                good = np.isfinite(score)
+                many = np.flatnonzero(good.sum(axis=1) > rerank)
+                if len(many):
+                    good[many] = _contenders(score[many], norm**2 / 2, slack, k, rerank)
+                who, what = np.nonzero(good)
+                out.append(pd.DataFrame({"one": mine[who], "two": items[what]}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"one": [], "two": []})
 
     return run
@@ -183,8 +212,8 @@ def neighbours(
     """(item, rank, neighbour, similarity): for every item the ``k`` most similar others, of cosine ``min_similarity`` or more.
 
     Equally similar ones come in order of the item. Null, all-zero and non-finite vectors take no part; an item counts once.
-    Items with equal vectors are neighbours of similarity 1. The codebooks are fitted on ``fit_rows`` rows chosen by
-    a hash of the item; every row is indexed and every row is a query. A score may fall short by
+    Items with vectors of one direction, however many, are neighbours of similarity 1. The codebooks are fitted on ``fit_rows``
+    classes chosen by a hash of their first item; every class is indexed and every class is a query. A score may fall short by
     ``margin`` times the length of what the quantiser leaves of a vector before its pair is given up. An empty
     table gives no rows. Other columns of ``df`` are ignored.
     """
@@ -192,12 +221,21 @@ def neighbours(
         raise ValueError("k must be at least 1, words at most 256")
     spark = df.sparkSession
     kind = df.schema[item].dataType.simpleString()
-    rows = settle(usable(df, item, vector))
+    members = settle(usable(df, item, vector).mapInPandas(_classed, f"item {kind}, v array<double>, key binary"))
+    rows = settle(members.groupBy("key").agg(F.min_by("v", "item").alias("v"), F.min("item").alias("item")))
     n = rows.count()
+    pairs = spark.createDataFrame([], f"one {kind}, two {kind}, similarity double")
+    if n > 1:
+        pairs = _class_pairs(rows.select("item", "v"), kind, n, k, min_similarity, levels, words, beam, spill, rerank, margin, fit_rows, block)
+    return _for_members(members.select("item", "key"), rows.select("key", F.col("item").alias("class")), pairs, k, min_similarity)
+
+
+def _class_pairs(
+    rows: DataFrame, kind: str, n: int, k: int, min_similarity: float, levels: int, words: int, beam: int, spill: int, rerank: int, margin: float, fit_rows: int, block: int
+) -> DataFrame:
+    """(one, two, similarity), one < two: the pairs of classes that were found, scored exactly."""
+    spark = rows.sparkSession
     sample = rows.orderBy(F.xxhash64("item")).limit(fit_rows).select("v").toPandas()
-    schema = f"item {kind}, rank int, neighbour {kind}, similarity double"
-    if n < 2:
-        return spark.createDataFrame([], schema)
     cells = 1 << max(2, min(12, round(math.log2(math.sqrt(n)))))
     model = spark.sparkContext.broadcast(fit(_unit(sample["v"]).astype(np.float32), min(cells, len(sample)), levels, min(words, len(sample))))
     parts = max(spark.sparkContext.defaultParallelism, n // 50_000)
@@ -215,19 +253,41 @@ def neighbours(
     queries = queries.join(plan, "cell").select("one", "q", "cell", F.explode(F.sequence(F.lit(0), F.col("code_blocks") - 1)).alias("c"), mine.alias("b"))
     unit = ["cell", "c", "b"]
     found = queries.groupBy(*unit).cogroup(codes.groupBy(*unit)).applyInPandas(
-        _score(model, rerank, min_similarity, margin), f"one {kind}, two {kind}"
+        _score(model, k, rerank, min_similarity, margin), f"one {kind}, two {kind}"
     )
     # a pair found from either side serves both
     found = found.select(F.explode(F.array(F.struct("one", "two"), F.struct(F.col("two").alias("one"), F.col("one").alias("two")))).alias("p")).select("p.*")
     found = found.where("one < two").distinct()
     found = found.join(rows.select(F.col("item").alias("one"), F.col("v").alias("v1")), "one")
     found = found.join(rows.select(F.col("item").alias("two"), F.col("v").alias("v2")), "two")
-    found = found.mapInPandas(_exact, f"one {kind}, two {kind}, similarity double").where(F.col("similarity") >= min_similarity)
-    both = found.select(
-        F.explode(F.array(F.struct(F.col("one").alias("item"), F.col("two").alias("neighbour"), "similarity"), F.struct(F.col("two").alias("item"), F.col("one").alias("neighbour"), "similarity"))).alias("p")
+    found = found.mapInPandas(_exact, f"one {kind}, two {kind}, similarity double")
+    return found.where(F.col("similarity") >= min_similarity).withColumn("similarity", F.round("similarity", DIGITS))
+
+
+def _for_members(members: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, min_similarity: float, salts: int = 8) -> DataFrame:
+    """(item, rank, neighbour, similarity) of all members, from the pairs of classes.
+
+    The ``k`` best classes beside its own, each by its ``k + 1`` smallest members, hold the ``k`` best of any member. A
+    class has one list of ``k + 1``, copied to salts; a member leaves itself out of it.
+    """
+    both = pairs.select(
+        F.explode(F.array(F.struct(F.col("one").alias("class"), F.col("two").alias("near"), "similarity"), F.struct(F.col("two").alias("class"), F.col("one").alias("near"), "similarity"))).alias("p")
     ).select("p.*")
-    order = W.partitionBy("item").orderBy(F.desc("similarity"), "neighbour")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item", "rank", "neighbour", "similarity")
+    best = W.partitionBy("class").orderBy(F.desc("similarity"), "near")
+    both = both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+    members = members.join(classes, "key").drop("key")
+    first = members.withColumn("rank", F.row_number().over(W.partitionBy("class").orderBy("item"))).where(F.col("rank") <= k + 1)
+    first = settle(first.select(F.col("class").alias("near"), F.col("item").alias("neighbour")))
+    own = first.select(F.col("near").alias("class"), "neighbour", F.lit(1.0).alias("similarity")).where(F.col("similarity") >= min_similarity)
+    listed = both.join(first, "near").select("class", "neighbour", "similarity").unionByName(own)
+    order = W.partitionBy("class").orderBy(F.desc("similarity"), "neighbour")
+    listed = listed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1)
+    listed = listed.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "similarity"))).alias("list"))
+    listed = listed.where(F.size("list") > 1).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    members = members.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(salts)).cast("int"))
+    found = members.join(listed, ["class", "salt"])
+    found = found.select("item", F.posexplode(F.slice(F.filter("list", lambda x: x["neighbour"] != F.col("item")), 1, k)).alias("pos", "n"))
+    return found.select("item", (F.col("pos") + 1).alias("rank"), F.col("n.neighbour").alias("neighbour"), F.col("n.similarity").alias("similarity"))
 
 
 def similar_pairs(found: DataFrame) -> DataFrame:

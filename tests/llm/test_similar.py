@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cairn.llm.similar import fit, neighbours, similar_pairs
+from cairn.llm.similar import _contenders, fit, neighbours, similar_pairs
 
 
 def make(n, seed, copies=0):
@@ -44,6 +45,26 @@ def test_many_copies(spark):
     assert [r["similarity"] for r in found] == [pytest.approx(1.0)] * 3
 
 
+def test_copies_beyond_the_candidates(spark):
+    """Far more copies than are reranked: each, and each item near them, has the smallest ids; the rest is as by brute force."""
+    v = make(300, 3, copies=100)[np.random.default_rng(4).permutation(300)]
+    v[7] = make(300, 3, copies=100)[0] + 0.02
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "item int, vec array<double>")
+    for block in (64, 8192):
+        found = neighbours(df, "item", "vec", 3, 0.8, words=32, block=block)
+        assert {tuple(r) for r in similar_pairs(found).collect()} == brute(v, 3, 0.8)
+        assert found.groupBy("item", "rank").count().where("count > 1").count() == 0
+    same = neighbours(df.where("item < 6").withColumn("vec", F.expr("transform(vec, x -> 1.5D)")), "item", "vec", 2, 0.8)
+    assert {tuple(r) for r in similar_pairs(same).collect()} == {(0, 1), (0, 2), (1, 2), (0, 3), (1, 3), (0, 4), (1, 4), (0, 5), (1, 5)}
+
+
+def test_candidates_within_the_margin_all_go_on():
+    """Forty codes with one score, and one just below whose error leaves it a chance: none is given up."""
+    dot = np.array([[0.9] * 40 + [0.88, 0.2, -np.inf]], dtype=np.float32)
+    kept = _contenders(dot, np.zeros(43), np.array([0.01] * 40 + [0.05, 0.01, 0.5]), 5, 32)
+    assert kept[0, :41].all() and not kept[0, 41:].any()
+
+
 def test_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     data = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 2), (2, [2.0, 0.1], 3), (3, None, 4), (4, [0.0, 0.0], 5), (5, [nan, 1.0], 6), (6, [inf, 1.0], 7), (None, [1.0, 1.0], 8), (7, [None, 1.0], 9)]
