@@ -12,7 +12,9 @@ one stands in its place, that counts as going on: so a word cut inside is told f
 the short lines (headings, menus) is also counted as a whole line of 3 to 6 tokens, from its start.
 
 All of it is SQL. Trigrams are counted in partial sums before the shuffle; the wider classes are sums over
-the distinct trigrams. A text's own end is taken out of the counts it is judged by.
+the distinct trigrams. Copies say nothing new: trigrams are counted over distinct texts, and of texts that differ but end
+on the same TAIL characters, as a page cut and mirrored in another frame, only one end counts. That one end is
+taken out of the counts a text is judged by, and each copy gets the verdict.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from cairn.session import settle
 PRIOR, LINE_PRIOR = 30.0, 10.0
 #: A final trigram that ends lines and sentences in a smaller share of cases was cut.
 ENDS = 0.15
+#: Texts that agree in so many last characters have one end: longer than footers, which pages of other content share.
+TAIL = 300
 
 _MARKS = r"(?:\\s*(?:…|\\.{3,}|â€¦|\\[\\.\\.\\.\\]))+\\s*$"
 #: Steps to tokens with a blank between any two. \x01 ends a line or sentence, two \x02 begin a line, two \x03 a sentence.
@@ -59,10 +63,18 @@ SELECT gram, sum(n) AS n, sum(IF(ended, n, 0)) AS ends FROM (
   SELECT rtrim(translate(g, '\u0001', '')) AS gram, right(g, 1) = '\u0001' AS ended, n FROM (
     SELECT g, count(*) AS n FROM (
       SELECT explode(concat(regexp_extract_all(line, '(?=({_TOKEN * 3}\\x01?))\\S+', 1), {_ANCHORED})) AS g
-      FROM (SELECT {_tokens("text")} AS line FROM cairn_texts WHERE text IS NOT NULL))
+      FROM (SELECT {_tokens("text")} AS line FROM (SELECT DISTINCT text FROM cairn_texts WHERE text IS NOT NULL)))
     GROUP BY g))
 GROUP BY gram
 """
+#: GRAMS with one end for all distinct texts of one tail.
+ONCE = """
+SELECT gram, greatest(sum(n), 0) AS n, greatest(sum(ends), 0) AS ends FROM (
+  SELECT gram, n, ends FROM cairn_all_grams
+  UNION ALL SELECT explode(IF(whole = '', array(gram), array(gram, whole))), 1 - copies, 1 - copies FROM (
+    SELECT gram, whole, count(DISTINCT body) AS copies FROM cairn_ends GROUP BY gram, whole, tail HAVING count(DISTINCT body) > 1))
+GROUP BY gram
+"""
 #: The wider classes of the trigrams: trigram, pair and single token, told apart by the number of their blanks.
 WIDER = rf"""
 SELECT kind, sum(n) AS n, sum(ends) AS ends FROM (
@@ -83,16 +95,17 @@ SELECT raw, concat(head, left(word, k)) AS kind, sum(n) AS longer FROM (
 GROUP BY 1, 2
 """
 _LAST_LINE = r"substring_index(translate(trim(TRAILING ' \t\r\n\u00a0' FROM text), '\r', '\n'), '\n', -1)"
+_TAIL = rf"right(regexp_replace(right(trim(TRAILING ' \t\r\n\u00a0' FROM text), {TAIL + 40}), '{_MARKS}', ''), {TAIL})"
 #: The last line of each text: its final trigram, and the whole line if it has 3 to 6 tokens and one sentence.
 ENDINGS = rf"""
-SELECT id, source, gram, IF(substring_index(line, ' ', 1) = '\u0002' AND size(split(line, ' ')) BETWEEN 6 AND 9 AND instr(line, '\u0003') = 0, substring(line, 3, length(line) - 4), '') AS whole FROM (
-  SELECT id, source, line, substring_index(substring_index(line, ' ', -4), ' ', 3) AS gram FROM (
-    SELECT id, source, {_tokens(_LAST_LINE)} AS line FROM cairn_texts WHERE text RLIKE '\\S'))
+SELECT id, source, body, tail, gram, IF(substring_index(line, ' ', 1) = '\u0002' AND size(split(line, ' ')) BETWEEN 6 AND 9 AND instr(line, '\u0003') = 0, substring(line, 3, length(line) - 4), '') AS whole FROM (
+  SELECT id, source, body, tail, line, substring_index(substring_index(line, ' ', -4), ' ', 3) AS gram FROM (
+    SELECT id, source, xxhash64(text) AS body, xxhash64({_TAIL}) AS tail, {_tokens(_LAST_LINE)} AS line FROM cairn_texts WHERE text RLIKE '\\S'))
 """
 
 
 def _smoothed(own: str, longer: str, prior: float, wider: str) -> str:
-    """The share of ends without the text's own, with ``wider`` for as many occurrences as ``prior`` says."""
+    """The share of ends without the one of the text and its copies, with ``wider`` for as many occurrences as ``prior`` says."""
     n, ends = f"greatest(coalesce(n{own}, 1) - 1, 0)", f"greatest(coalesce(ends{own}, 1) - 1, 0)"
     return f"({ends} + {prior} * {wider}) / ({n} + {longer} + {prior})"
 
@@ -122,11 +135,13 @@ def find_truncated(df: DataFrame, doc_id: str, text: str, source: str | None = N
     spark = df.sparkSession
     texts = df.select(F.col(doc_id).alias("id"), (F.col(source) if source else F.lit(None).cast("string")).alias("source"), F.col(text).alias("text"))
     texts.createOrReplaceTempView("cairn_texts")
-    grams = settle(spark.sql(GRAMS))
+    ends = settle(spark.sql(ENDINGS))
+    ends.createOrReplaceTempView("cairn_ends")
+    spark.sql(GRAMS).createOrReplaceTempView("cairn_all_grams")
+    grams = settle(spark.sql(ONCE))
     grams.createOrReplaceTempView("cairn_grams")
     wider = settle(spark.sql(WIDER))
     wider.createOrReplaceTempView("cairn_wider")
-    ends = settle(spark.sql(ENDINGS))
     finals = ends.select("gram", "whole").distinct().withColumn("kind", F.expr(_class("gram")))
     kinds = F.array(*(F.struct(F.lit(False).alias("raw"), k.alias("kind")) for k in (F.col("kind"), F.substring_index("kind", " ", -2), F.substring_index("kind", " ", -1))),
                     *(F.struct(F.lit(True).alias("raw"), F.col(k).alias("kind")) for k in ("gram", "whole")))

@@ -38,6 +38,26 @@ def test_precision_and_recall(spark, texts):
     assert shares["s1"]["share"] > 0.95 and shares["s2"]["share"] < 0.05 and shares["s1"]["n_texts"] == 600
 
 
+@pytest.mark.parametrize("frame", ["", "Mirror {i}, kept by host {i}\n"])
+def test_copies_do_not_vouch_for_each_other(spark, texts, frame):
+    """A third of all rows are one cut page, as it is or in frames of their own: every copy is found, and the rest as without."""
+    page = " ".join(["It took 12 days until the bridge could be opened again."] * 6 + ["Nobody in town knew whether the bridge was closed that"])
+    data = texts + [(10_000 + i, "s1", frame.format(i=i) + page, True) for i in range(1500)]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string, cut boolean")
+    got = {r["doc_id"] for r in find_truncated(df, "doc_id", "text").where("truncated").collect()}
+    assert all(10_000 + i in got for i in range(1500))
+    want = {i for i, _, _, cut in texts if cut}
+    rest = {i for i in got if i < 10_000}
+    assert len(rest & want) > 0.95 * len(want) and len(rest & want) > 0.95 * len(rest)
+
+
+def test_footers_shared_by_pages_still_count(spark, texts):
+    """The same last lines below other content are no copies."""
+    data = [(i, text + "\nLetters, Notes and Maps of the Coast", False) for i, _, text, cut in texts if not cut]
+    found = find_truncated(spark.createDataFrame(data, "doc_id long, text string, cut boolean"), "doc_id", "text")
+    assert found.where("truncated").count() == 0
+
+
 def test_edge_cases(spark):
     kind = "id long, text string, source string, gram string, p double, truncated boolean"
     assert find_truncated(spark.createDataFrame([], kind), "id", "text").collect() == []
