@@ -13,6 +13,9 @@ from cairn.llm.topn import top_n
 from cairn.llm.truncation import find_truncated, truncation_by_source
 from cairn.session import tables
 
+#: The log-likelihood ratio that one of 1,000 pairs without a link exceeds: chi-squared, one degree of freedom, p = 0.001, each pair by itself.
+SIGNIFICANT = 10.828
+
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(tables(spark, d, "top100"), ["model", "user_idx"], "item_idx", "score", 20).select("model", "user_idx", "item_idx")
@@ -26,6 +29,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs(tables(spark, d, "train"), "user_idx", "item_idx", min_support=12, min_lift=4.1).select("item_a", "item_b")
 
 
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of the train table that at least 12 users have both, more often than chance at the level SIGNIFICANT."""
+    found = pairs(tables(spark, d, "train"), "user_idx", "item_idx", min_support=12, min_llr=SIGNIFICANT)
+    return found.select("item_a", "item_b", "n_ab", "n_a", "n_b", "lift", "llr")
+
+
 def p7_windows(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(tables(spark, d, "documents"), "doc_id", "text", "source", capacity=2048, vocabulary=VOCABULARY)
 
@@ -44,6 +53,6 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation_by_source(find_truncated(tables(spark, d, "documents"), "doc_id", "text", "source"), "source")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p7_windows": p7_windows, "p8_found": p8_found, "p9_found": p9_found, "p9_sources": p9_sources}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_windows": p7_windows, "p8_found": p8_found, "p9_found": p9_found, "p9_sources": p9_sources}
 
 __all__ = ["ORACLES", "QUERIES"]

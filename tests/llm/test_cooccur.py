@@ -6,6 +6,7 @@ import pytest
 
 from cairn.llm import cooccur
 from cairn.llm.cooccur import pairs
+from cairn.llm.queries import QUERIES, SIGNIFICANT
 
 
 def brute(data, support, lift):
@@ -60,3 +61,23 @@ def test_empty_clashing_and_text_items(spark):
     assert [tuple(r)[:6] for r in pairs(df, "x", "i").collect()] == [("x", "y", 1, 1, 1, 1)]
     with pytest.raises(ValueError):
         pairs(df, "x", "i", min_support=0)
+
+
+def test_pairs_query_returns_counts_and_significance(spark):
+    """All significant pairs at sf0.01 with their counts, as counted one by one."""
+    path = "/root/testdata/sf0.01"
+    rows = {(r[0], r[1]) for r in spark.read.parquet(f"{path}/train.parquet").select("user_idx", "item_idx").dropna().collect()}
+    users = {}
+    for u, i in rows:
+        users.setdefault(i, set()).add(u)
+    n, want = len({u for u, _ in rows}), {}
+    frequent = sorted(i for i in users if len(users[i]) >= 12)
+    for at, a in enumerate(frequent):
+        for b in frequent[at + 1 :]:
+            ab, na, nb = len(users[a] & users[b]), len(users[a]), len(users[b])
+            cells = ((ab, na, nb), (na - ab, na, n - nb), (nb - ab, n - na, nb), (n - na - nb + ab, n - na, n - nb))
+            llr = 2 * sum(k * math.log(k * n / (r * c)) for k, r, c in cells if k)
+            if ab >= 12 and ab * n >= na * nb and llr >= SIGNIFICANT:
+                want[a, b] = (ab, na, nb, pytest.approx(ab * n / (na * nb)), pytest.approx(llr))
+    got = {(r["item_a"], r["item_b"]): (r["n_ab"], r["n_a"], r["n_b"], r["lift"], r["llr"]) for r in QUERIES["p5_pairs"](spark, path).collect()}
+    assert want and got == want
