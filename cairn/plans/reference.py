@@ -23,7 +23,7 @@ from cairn.sources import views
 
 #: 100 items in EV, of which a user has seen up to 67.
 EV = PrepareConfig(min_interactions=5, negatives=20)
-TX_CORE, TOP, KEEP, NEAR, DIM = 20, 20, 5, 20, 64
+TX_CORE, TOP, KEEP, NEAR, DIM = 20, 20, 5, 200, 64
 
 
 def ev_core(spark: SparkSession, d: str) -> DataFrame:

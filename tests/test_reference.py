@@ -229,3 +229,10 @@ def test_metric_terms(spark):
 
     row = spark.range(3, 4).select(hit(F.col("id"), 2), hit(F.col("id"), 3), gain(F.col("id"), 3), reciprocal(F.col("id"), 3)).first()
     assert tuple(row) == (0.0, 1.0, pytest.approx(1 / math.log2(4)), pytest.approx(1 / 3))
+
+
+def test_neighbour_lists_are_as_long_as_the_references(spark):
+    from cairn.plans.reference import QUERIES
+
+    found = QUERIES["item_neighbors"](spark, "/root/testdata/sf0.001").groupBy("item").count()
+    assert {r["count"] for r in found.collect()} == {200}
