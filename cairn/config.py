@@ -58,11 +58,10 @@ class RerankWeights:
     calibration: float = 0.15
     diversity: float = 0.15
 
-    def validate(self) -> RerankWeights:
-        parts = (self.relevance, self.calibration, self.diversity)
-        if min(parts) < 0 or not math.isclose(sum(parts), 1.0, rel_tol=1e-5, abs_tol=1e-8):
+    def __post_init__(self):
+        given = list(asdict(self).values())
+        if any(w < 0 for w in given) or abs(math.fsum(given) - 1) > 1e-5:
             raise ValueError("weights must be non-negative and sum to 1")
-        return self
 
 
 def fingerprint(*configs) -> str:

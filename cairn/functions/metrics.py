@@ -24,7 +24,3 @@ def gain(rank: Column, k: int) -> Column:
 def reciprocal(rank: Column, k: int) -> Column:
     return F.when(rank <= k, 1.0 / rank).otherwise(0.0)
 
-
-def draw_order(seed: int, *keys: Column) -> Column:
-    """A hash that orders rows at random, the same in every engine and under any partitioning."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys)))

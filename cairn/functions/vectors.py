@@ -16,8 +16,12 @@ def norm(a: Column) -> Column:
 
 
 def normalised(a: Column, floor: float = 1e-12) -> Column:
-    """``a`` scaled to length 1; lengths are taken to be ``floor`` at least."""
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(floor)))
+    """``a`` scaled to length 1; lengths are taken to be ``floor`` at least.
+
+    The length is bound once, as the one element of an array: inside the lambda it would be found anew for every element.
+    """
+    length = F.array(F.greatest(norm(a), F.lit(floor)))
+    return F.transform(length, lambda n: F.transform(a, lambda x: x.cast("double") / n))[0]
 
 
 def finite(a: Column) -> Column:

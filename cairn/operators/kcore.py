@@ -12,17 +12,29 @@ def k_core(df: DataFrame, minimum: int, user: str = "user", item: str = "item")
     """The rows left when every user and item has ``minimum`` rows or more, and the rows kept in each round.
 
     Rows count, not distinct pairs. In each round users and items are counted on the same rows, and both
-    conditions applied at once. Rounds are settled, so that the plan doesn't grow with their number.
+    conditions applied at once. Rounds see one row (user, item, rows) for each pair, settled and so the only thing
+    that is rewritten; ``df`` is read twice, for these counts and for the rows of the users and items that are left.
     """
     if minimum < 1:
         raise ValueError("minimum must be at least 1")
-    rows, kept = df, [df.count()]
+    columns, source = df.columns, df.select(F.col(user).alias("u"), F.col(item).alias("i"))
+    pairs = settle(source.groupBy("u", "i").agg(F.count(F.lit(1)).alias("n")))
+    before, kept = _rows(pairs), []
     while True:
-        frequent = [rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= minimum).select(c) for c in (user, item)]
-        left = settle(rows.join(frequent[0], user, "left_semi").join(frequent[1], item, "left_semi").select(*df.columns))
-        kept.append(left.count())
-        rows = left
+        for side in "ui":
+            enough = pairs.groupBy(side).agg(F.sum("n").alias("all")).where(F.col("all") >= minimum).select(side)
+            left = left.join(enough, side, "left_semi") if side == "i" else pairs.join(enough, side, "left_semi")
+        left = settle(left.select("u", "i", "n"))
+        kept.append(_rows(left))
         if kept[-1] == 0:
             raise ValueError("empty core")
-        if kept[-1] == kept[-2]:
-            return rows, kept[1:]
+        if kept[-1] == before:
+            break
+        pairs, before = left, kept[-1]
+    for side, name in (("u", user), ("i", item)):
+        df = df.join(left.select(F.col(side).alias(name)).distinct(), name, "left_semi")
+    return settle(df.select(*columns)), kept
+
+
+def _rows(pairs: DataFrame) -> int:
+    return pairs.agg(F.sum("n")).first()[0] or 0

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions.metrics import kl_term
-from cairn.functions.vectors import dot, normalised
+from cairn.functions.vectors import normalised
+from cairn.session import settle
 
 
 def list_mix(lists: DataFrame, shares: DataFrame, user: str = "user", item: str = "item") -> DataFrame:
@@ -45,7 +46,8 @@ def diversity(lists: DataFrame, features: DataFrame, user: str = "user", item: s
 
 
 def list_quality(lists: DataFrame, profiles: DataFrame, shares: DataFrame, features: DataFrame, user: str = "user", item: str = "item") -> DataFrame:
-    """One row: mean and population deviation of calibration and diversity."""
+    """One row: mean and population deviation of calibration and diversity. Lists are settled, as three parts use them."""
+    lists = settle(lists)
     found = calibration(profiles, list_mix(lists, shares, user, item), user).join(diversity(lists, features, user, item), user)
     return found.agg(
         F.avg("calibration").alias("calibration_mean"),
@@ -53,13 +55,3 @@ def list_quality(lists: DataFrame, profiles: DataFrame, shares: DataFrame, featu
         F.avg("ild").alias("ild_mean"),
         F.stddev_pop("ild").alias("ild_std"),
     )
-
-
-def overlapping_pairs(lists: DataFrame, user: str = "user") -> DataFrame:
-    """Pairs (i < j) within each list by rank, for cross-checks on short lists."""
-    a, b = lists.alias("a"), lists.alias("b")
-    return a.join(b, (F.col(f"a.{user}") == F.col(f"b.{user}")) & (F.col("a.rank") < F.col("b.rank")))
-
-
-def cosine(a: str, b: str):
-    return dot(normalised(F.col(a)), normalised(F.col(b)))

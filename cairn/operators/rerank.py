@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cairn.config import RerankWeights
 from cairn.functions.metrics import EPS
 from cairn.functions.vectors import min_max
+from cairn.session import settle
 
 
 def min_max_relevance(lists: DataFrame, user: str = "user") -> DataFrame:
@@ -78,9 +79,9 @@ def greedy_rerank(
 ) -> DataFrame:
     """(user, rank, item, objective): the k best of each list (user, rank, item, score), chosen one after another.
 
-    Raises if a list has fewer than k candidates. A list is as long as retrieval made it, and travels as one row.
+    Raises if a list has fewer than k candidates, for which lists are settled first. A list is as long as retrieval made it, and travels as one row.
     """
-    weights = (weights or RerankWeights()).validate()
+    weights, lists = weights or RerankWeights(), settle(lists)
     short = lists.groupBy("user").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < k).limit(1).count()
     if short:
         raise ValueError(f"a list has fewer than {k} candidates")

@@ -1,8 +1,9 @@
 """Per-key results where a few keys hold most rows: two-stage salted aggregation.
 
-The keys that hold at least ``heavy_share`` of all rows, at most ``1 / heavy_share`` of them, are found by
-an exact count. Their rows get a salt and are aggregated per (key, salt) first, spread over all tasks;
-the partial results, at most ``salts`` a key, are then merged by key. All other keys have the one salt 0.
+The keys that may hold ``heavy_share`` of all rows are named by a sketch of frequent items, in one pass whose
+partial results are of a fixed size: no key is counted to find them. Their rows get a salt and are aggregated per (key, salt) first, spread
+over all tasks; the partial results, at most ``salts`` a key, are then merged by key. All other keys have the one salt 0.
+A key that the sketch leaves out or adds costs balance, never correctness.
 
 The salt is drawn from a hash of a row-unique column rather than from ``rand()``: a task that runs again
 after an executor was lost then draws the same salts, so no partial result counts twice or is missed.
@@ -10,10 +11,11 @@ after an executor was lost then draws the same salts, so no partial result count
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,13 +53,15 @@ def _merged(m: Measure, at: int):
     return getattr(F, m.kind)(f"p{at}").alias(m.name)
 
 
-def heavy_keys(rows: DataFrame, keys: Sequence[str], heavy_share: float) -> list[tuple]:
-    """The keys of at least ``heavy_share`` of the rows whose key is not null: at most 1 / heavy_share."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).persist()
-    total = counts.agg(F.sum("__n")).first()[0] or 0
-    heavy = counts.where(F.col("__n") >= heavy_share * total).collect()
-    counts.unpersist()
-    return [tuple(r[k] for k in keys) for r in heavy]
+def heavy_hashes(rows: DataFrame, key: Column, heavy_share: float) -> list[int]:
+    """The hashes of the keys that may hold ``heavy_share`` of the rows: at most ``2 / heavy_share``.
+
+    The sketch tracks ``16 / heavy_share`` keys, which bounds its error by a quarter of ``heavy_share``.
+    """
+    most = math.ceil(2 / heavy_share)
+    sketch = F.call_function("approx_top_k", key, F.lit(most), F.lit(min(max(16, 8 * most), 1_000_000)))
+    found = rows.agg(sketch.alias("top"), F.count(F.lit(1)).alias("n")).first()
+    return sorted(t["item"] for t in found["top"] or [] if t["count"] >= 0.75 * heavy_share * found["n"])
 
 
 def salted_aggregate(
@@ -86,14 +90,9 @@ def salted_aggregate(
     )
     for n in names:
         rows = rows.where(F.col(n).isNotNull())
-    found = heavy_keys(rows, names, heavy_share)
-    if found:
-        kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
-        heavy = rows.sparkSession.createDataFrame(found, kinds).withColumn("heavy", F.lit(True))
-        rows = rows.join(F.broadcast(heavy), names, "left")  # at most 1 / heavy_share rows
-        rows = rows.withColumn("salt", F.when(F.col("heavy"), F.col("salt")).otherwise(F.lit(0))).drop("heavy")
-    else:
-        rows = rows.withColumn("salt", F.lit(0))
+    key = F.xxhash64(*names)
+    heavy = heavy_hashes(rows, key, heavy_share)
+    rows = rows.withColumn("salt", F.when(key.isin(heavy), F.col("salt")).otherwise(0) if heavy else F.lit(0))
     partial = rows.groupBy(*names, "salt").agg(*(p for i, m in enumerate(measures) for p in _partial(m, i)))
     merged = partial.groupBy(*names).agg(*(_merged(m, i) for i, m in enumerate(measures)))
     return merged.select(*(F.col(n).alias(k) for k, n in zip(keys, names)), *(m.name for m in measures))

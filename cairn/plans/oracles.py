@@ -50,7 +50,7 @@ def _negatives(split: str, draws: int = 6000) -> str:
     return f"""
 SELECT '{split}' AS split, u, row_number() OVER (PARTITION BY u ORDER BY j) AS cand_pos, i FROM (
   SELECT u, i, min(j) AS j FROM (
-    SELECT u, j, ('0x' || left(md5('{seed}:' || u || ':' || j), 8))::BIGINT % (SELECT count(*) FROM it) AS k FROM (SELECT DISTINCT u FROM s), range(0, {draws}) t(j)) d
+    SELECT u, j, ('0x' || left(md5('{seed}:' || u || ':' || j), 15))::BIGINT % (SELECT count(*) FROM it) AS k FROM (SELECT DISTINCT u FROM s), range(0, {draws}) t(j)) d
   JOIN it USING (k) WHERE (u, i) NOT IN (SELECT (u, i) FROM s) GROUP BY u, i) QUALIFY cand_pos <= {EV.negatives}"""
 
 

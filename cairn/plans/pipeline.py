@@ -115,7 +115,7 @@ def similar_items(spark: SparkSession, items: DataFrame, out: str, model: str, k
 
 
 def rerank(spark: SparkSession, data: dict[str, DataFrame], lists: DataFrame, out: str, model: str, k: int = 20, weights: RerankWeights | None = None) -> DataFrame:
-    weights = (weights or RerankWeights()).validate()
+    weights = weights or RerankWeights()
     hot = P.multi_hot(data["item_genre"], P.vocabulary(data["item_genre"])).withColumnRenamed("hot", "vec")
     shares = P.item_shares(data["item_genre"])
     R.greedy_rerank(lists, data["profiles"], shares, hot, k, weights).write.mode("overwrite").parquet(f"{out}/{model}_rerank_top{k}")

@@ -6,7 +6,7 @@ checkpoints or by tables written below ``spark.checkpoint.dir``, which all execu
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -20,6 +20,9 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # checkpoints go when nothing refers to them any more, and are kept compressed
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.checkpoint.compress": "true",
 }
 
 
@@ -35,15 +38,31 @@ def local_session(cpus: int = 8, memory: str = "12g", **conf: str) -> SparkSessi
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate data; one is made only where none is named."""
+    """The folder the cluster names for intermediate data, on its own file system.
+
+    Only a session on this very machine gets one made for it, as in tests; elsewhere a folder must be named.
+    """
     context = spark.sparkContext
-    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="cairn-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
-    base = context.getConf().get("spark.checkpoint.dir") or named
-    return base if "://" in base or base.startswith("file:") else "file://" + os.path.abspath(base)
+    return qualified(spark, named)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of its file system: one without a scheme lies on the session's default."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

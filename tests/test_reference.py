@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.config import PrepareConfig, RerankWeights, TrainConfig, fingerprint
 from cairn.operators import candidates, profiles, quality, rerank, retrieval, scoring, split, training, validation
@@ -64,13 +65,26 @@ def test_genres_and_profiles(spark, rows):
 def test_candidates(spark):
     items = spark.createDataFrame([(i * 10,) for i in range(30)], "item int")
     seen = spark.createDataFrame([(1, i * 10) for i in range(20)] + [(2, 0)], "user int, item int")
-    users = seen.select("user").distinct()
-    found = candidates.negatives(users, seen, items, 10, seed=3).collect()
-    mine = [r["item"] for r in found if r["user"] == 1]
-    assert sorted(mine) == [i * 10 for i in range(20, 30)] and len(found) == 20
-    assert sorted(map(tuple, found)) == sorted(map(tuple, candidates.negatives(users.repartition(3), seen, items, 10, seed=3).collect()))
+    users = seen.select("user").distinct().withColumn("split", F.explode(F.array(F.lit("val"), F.lit("test"))))
+    draw = lambda n, users=users: candidates.negatives(users, seen, items, n, {"val": 3, "test": 4}).collect()
+    found = draw(10)
+    mine = [r["item"] for r in found if r["user"] == 1 and r["split"] == "val"]
+    assert sorted(mine) == [i * 10 for i in range(20, 30)] and len(found) == 40
+    assert sorted(map(tuple, found)) == sorted(map(tuple, draw(10, users.repartition(3))))
+    two = {s: [r["item"] for r in sorted(found, key=lambda r: r["pos"]) if r["user"] == 2 and r["split"] == s] for s in ("val", "test")}
+    assert two["val"] != two["test"] and all(len(set(x)) == 10 and 0 not in x for x in two.values())
     with pytest.raises(ValueError, match="unseen"):
-        candidates.negatives(users, seen, items, 11, seed=3)
+        draw(11)
+
+
+@pytest.mark.parametrize("block", [2, 100])
+def test_candidate_scores_both_ways(spark, rows, block):
+    """One broadcast block and the joins give the same; a bias counts; users and items without a vector drop out."""
+    items = spark.createDataFrame([(i, [float(i), 1.0], 0.5 if i else None) for i in range(3)], "item int, vec array<double>, bias double")
+    users = spark.createDataFrame([(1, [2.0, -1.0])], "user int, vec array<double>")
+    cands = spark.createDataFrame([("test", 1, 2), ("val", 1, 2), ("test", 1, 0), ("test", 1, 9), ("test", 5, 1)], "split string, user int, item int")
+    found = scoring.candidate_scores(cands, users, items, digits=3, block=block)
+    assert rows(found) == [("test", 1, 0, -1.0), ("test", 1, 2, 3.5), ("val", 1, 2, 3.5)]
 
 
 def test_ranks_are_pessimistic(spark, rows):
@@ -134,7 +148,6 @@ def test_diversity_by_sums_equals_pairs(spark, rows):
     lists = spark.createDataFrame([(1, i, i + 1) for i in range(6)] + [(2, 0, 1)], "user int, item int, rank int")
     features = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "item int, vec array<double>")
     assert rows(quality.diversity(lists, features)) == [(1, pytest.approx(np.mean(pairs))), (2, None)]
-    assert quality.overlapping_pairs(lists).count() == 15
 
 
 def test_greedy_choice():
@@ -146,9 +159,9 @@ def test_greedy_choice():
     apart = rerank.choose(np.array([1.0, 0.9, 0.0]), profile, shares, unit, 2, RerankWeights(0, 0, 1), None)
     assert [i for i, _ in apart] == [0, 2] and apart[1][1] == 1.0
     with pytest.raises(ValueError):
-        RerankWeights(0.5, 0.5, 0.5).validate()
+        RerankWeights(0.5, 0.5, 0.5)
     with pytest.raises(ValueError):
-        RerankWeights(1.5, -0.5, 0).validate()
+        RerankWeights(1.5, -0.5, 0)
 
 
 def test_greedy_needs_enough_candidates(spark):

@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from cairn.operators.skewed import Measure, heavy_keys, key_statistics, salted_aggregate
+from cairn.operators.skewed import Measure, heavy_hashes, key_statistics, salted_aggregate
 
 ALL = [Measure("n", "rows"), Measure("c", "count", "v"), Measure("s", "sum", "v"), Measure("lo", "min", "v"), Measure("hi", "max", "v"), Measure("m", "mean", "v")]
 
@@ -24,9 +25,14 @@ def test_same_as_plain_sums(spark, rows, share, salts):
     assert rows(salted_aggregate(df, ["k"], ALL, heavy_share=share, salts=salts)) == brute(data)
 
 
-def test_heavy_keys_are_few_and_exact(spark):
+def test_heavy_keys_are_found(spark):
+    """The sketch names every key of the share asked for, and no key far below it."""
     df = spark.createDataFrame([(1,)] * 60 + [(2,)] * 30 + [(i,) for i in range(10, 20)], "k int")
-    assert sorted(heavy_keys(df, ["k"], 0.3)) == [(1,), (2,)]
+    wanted = [r[0] for r in spark.createDataFrame([(1,), (2,)], "k int").select(F.xxhash64("k")).collect()]
+    assert heavy_hashes(df, F.xxhash64("k"), 0.3) == sorted(wanted)
+    many = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
+    assert len(heavy_hashes(many, F.xxhash64("k"), 0.005)) == 1
+    assert heavy_hashes(many.limit(0), F.xxhash64("k"), 0.005) == []
 
 
 def test_two_kinds_and_clashing_names(spark, rows):
