@@ -63,7 +63,7 @@ def candidate_scores(candidates: DataFrame, users: DataFrame, items: DataFrame,
         kinds = {c: candidates.schema[n].dataType.simpleString() for c, n in (("user", user), ("items", item))}
         found = asked.mapInPandas(_dots(vectors), f"user {kinds['user']}, items array<{kinds['items']}>, scores array<double>")
         found = found.select(F.col("user").alias(user), F.explode(F.arrays_zip("items", "scores")).alias("p")).select(user, F.col("p.items").alias(item), F.col("p.scores").alias("score"))
-        rows = candidates.join(found.where(~F.isnan("score")), [user, item]).select(*candidates.columns, "score")
+        rows = candidates.join(found.where("score IS NOT NULL AND NOT isnan(score)"), [user, item]).select(*candidates.columns, "score")
     else:
         rows = candidates.join(theirs.withColumnRenamed("i", item), item).join(users.select(user, F.col("vec").alias("u")), user)
         rows = rows.select(*candidates.columns, (dot(F.col("u"), F.col("v")) + F.col("b")).alias("score"))

@@ -1,23 +1,35 @@
-"""Pairwise ranking models in NumPy, trained partition by partition and averaged.
-
-An epoch is one Spark job. Training rows are dealt to blocks of bounded size by user, so that a user's factors
-live in one block; only a user with more rows than a block holds is spread over all, and averaged like what
-is shared. What all users share (item factors, or towers and item embeddings) is broadcast at the epoch's start,
-trained on by each block, and averaged by the number of steps afterwards. Only gradients of touched rows move.
+"""Pairwise ranking models in NumPy, trained unit by unit and averaged.
+
+Users are dealt to blocks of bounded rows, items to blocks of bounded size; a unit is one block of users with one block
+of items. An epoch passes through as many strata as there are item blocks: in each, every block of users meets one
+block of items, and all units of a stratum run at the same time. A unit receives the state of its users and items as
+rows, trains on them, and sends back the rows it touched; rows that several units touched (items, users of more rows
+than a block holds, the towers' weights) are averaged by how often they were touched, partition by partition. Nothing as
+large as the users or the items is broadcast or passes through the driver; the towers' weights, a fixed number, do.
+
+A row of state holds a vector, its bias, and Adam's moments of both, which therefore go on over strata and epochs. A user's
+negatives in a unit are drawn evenly from the unit's items that they don't have in training; over the strata that is
+the whole catalogue.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.config import TrainConfig
+from cairn.session import settle
+
+#: Items in one block; of 64 numbers with their moments it is 100 MB.
+ITEM_BLOCK = 65_536
+#: Numbers in one piece of the towers' weights.
+PIECE = 4_096
 
 
 def log_sigmoid(x: np.ndarray) -> np.ndarray:
@@ -31,8 +43,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class LazyAdam:
     """Adam on the rows that a step touches; bias correction by the number of all steps. ``decay`` is decoupled."""
 
-    def __init__(self, shape: tuple[int, ...], rate: float, decay: float = 0.0):
-        self.m, self.v, self.t, self.rate, self.decay = np.zeros(shape), np.zeros(shape), 0, rate, decay
+    def __init__(self, m: np.ndarray, v: np.ndarray, t: int, rate: float, decay: float = 0.0):
+        self.m, self.v, self.t, self.rate, self.decay = m, v, t, rate, decay
 
     def step(self, x: np.ndarray, rows: np.ndarray | slice, grad: np.ndarray) -> None:
         self.t += 1
@@ -92,185 +104,335 @@ class Tower:
         return [dh.T @ x, dh.sum(0), dz.T @ a, dz.sum(0)], dh @ self.w1
 
 
-class NegativeSampler:
-    """Items drawn evenly, and again as long as the user has them in training; keys are user * n_items + item."""
+class Unseen:
+    """Items a user does not have, each as likely as any other, without drawing again.
+
+    Users and items are numbered from 0. The r-th unseen item of a user is r plus the number of seen items before it,
+    and that number is found by bisection: the j-th seen item has itself less j unseen items before it.
+    """
+
+    def __init__(self, users: np.ndarray, items: np.ndarray, n_users: int, n_items: int):
+        keys = np.unique(users.astype(np.int64) * n_items + items)
+        user, item = keys // n_items, keys % n_items
+        self.seen, self.n_items = np.bincount(user, minlength=n_users), n_items
+        self.starts = np.cumsum(self.seen) - self.seen
+        self.before = user * (n_items + 1) + item - (np.arange(len(keys)) - self.starts[user])
+
+    def left(self) -> np.ndarray:
+        """How many items each user has not seen."""
+        return self.n_items - self.seen
+
+    def draw(self, users: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        r = rng.integers(0, self.n_items - self.seen[users])
+        return r + np.searchsorted(self.before, users.astype(np.int64) * (self.n_items + 1) + r, side="right") - self.starts[users]
+
+
+class Rows:
+    """State of numbered rows: vectors, biases and Adam's moments of both, one line each: vector, bias, m, v."""
+
+    def __init__(self, state: np.ndarray, dim: int, t: int, rate: float):
+        self.state, self.touched = state, np.zeros(len(state), dtype=np.int64)
+        cut = dim + 1
+        self.x, m, v = (state[:, i * cut : (i + 1) * cut] for i in range(3))
+        self.vec, self.bias = self.x[:, :dim], self.x[:, dim]
+        self.adam, self.bias_adam = LazyAdam(m[:, :dim], v[:, :dim], t, rate), LazyAdam(m[:, dim], v[:, dim], t, rate)
+
+    def step(self, ids: np.ndarray, grads: np.ndarray, bias: np.ndarray | None = None) -> None:
+        rows, total = by_row(ids, grads)
+        self.touched[rows] += 1
+        self.adam.step(self.vec, rows, total)
+        if bias is not None:
+            self.bias_adam.step(self.bias, *by_row(ids, bias))
+
 
-    def __init__(self, keys: np.ndarray, n_items: int, seed: list[int]):
-        self.keys, self.n_items = np.unique(keys), n_items
-        self.rng = np.random.Generator(np.random.Philox(np.random.SeedSequence(seed)))
-        users, counts = np.unique(self.keys // n_items, return_counts=True)
-        if (counts >= n_items).any():
-            raise ValueError(f"user {users[counts >= n_items][0]} has seen every item")
+def _mf_steps(users: Rows, items: Rows, towers, u: np.ndarray, p: np.ndarray, n: np.ndarray, config: TrainConfig) -> float:
+    loss, du, dp, dn, gp, gn = mf_loss(users.vec[u], items.vec[p], items.vec[n], items.bias[p], items.bias[n], config.l2)
+    users.step(u, du)
+    items.step(np.concatenate([p, n]), np.concatenate([dp, dn]), np.concatenate([gp, gn]))
+    return loss
 
-    def is_seen(self, users: np.ndarray, items: np.ndarray) -> np.ndarray:
-        wanted = users.astype(np.int64) * self.n_items + items
-        at = np.searchsorted(self.keys, wanted)
-        return (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == wanted)
 
-    def sample(self, users: np.ndarray) -> np.ndarray:
-        items = self.rng.integers(0, self.n_items, len(users))
-        while (again := np.flatnonzero(self.is_seen(users, items))).size:
-            items[again] = self.rng.integers(0, self.n_items, again.size)
-        return items
+def tower_loss(yu: np.ndarray, yp: np.ndarray, yn: np.ndarray):
+    """Loss of a batch from the towers' outputs, and its gradients for the three."""
+    x = (yu * (yp - yn)).sum(1)
+    g = (-sigmoid(-x) / len(x))[:, None]
+    return -log_sigmoid(x).mean(), g * (yp - yn), g * yu, -g * yu
 
 
 @dataclass
-class Model:
-    """What all users share, and the users' own rows by id."""
-
-    shared: list[np.ndarray]
-    users: dict[int, np.ndarray] = field(default_factory=dict)
-    losses: list[float] = field(default_factory=list)
-
-
-def _mf_block(shared, own, data, config: TrainConfig, sampler: NegativeSampler, steps: int, rng):
-    items, bias = (x.copy() for x in shared)
-    adams = LazyAdam(own.shape, config.learning_rate), LazyAdam(items.shape, config.learning_rate), LazyAdam(bias.shape, config.learning_rate)
-    local, users, positive = data
-    total = 0.0
-    for _ in range(steps):
-        at = rng.integers(0, len(local), min(config.batch_size, max(len(local), 1)))
-        u, p, n = local[at], positive[at], sampler.sample(users[at])
-        loss, du, dp, dn, gp, gn = mf_loss(own[u], items[p], items[n], bias[p], bias[n], config.l2)
-        total += loss
-        adams[0].step(own, *by_row(u, du))
-        adams[1].step(items, *by_row(np.concatenate([p, n]), np.concatenate([dp, dn])))
-        adams[2].step(bias, *by_row(np.concatenate([p, n]), np.concatenate([gp, gn])))
-    return [items, bias], own, total
-
-
-def _tower_block(shared, own, data, config: TrainConfig, sampler: NegativeSampler, steps: int, rng, profile, hot):
-    items, *flat = (x.copy() for x in shared)
-    mine, theirs = Tower(*flat[:4]), Tower(*flat[4:])
-    lazy = LazyAdam(own.shape, config.learning_rate), LazyAdam(items.shape, config.learning_rate)
-    dense = [LazyAdam(x.shape, config.learning_rate, config.weight_decay) for x in flat]
-    local, users, positive = data
-    dim, total = config.dim, 0.0
-    for _ in range(steps):
-        at = rng.integers(0, len(local), min(config.batch_size, max(len(local), 1)))
-        u, p, n = local[at], positive[at], sampler.sample(users[at])
-        yu, ku = mine.forward(np.hstack([own[u], profile[u]]))
-        yp, kp = theirs.forward(np.hstack([items[p], hot[p]]))
-        yn, kn = theirs.forward(np.hstack([items[n], hot[n]]))
-        x = (yu * (yp - yn)).sum(1)
-        g = (-sigmoid(-x) / len(x))[:, None]
-        total += -log_sigmoid(x).mean()
-        gu, du = mine.backward(yu, ku, g * (yp - yn))
-        gp, dp = theirs.backward(yp, kp, g * yu)
-        gn, dn = theirs.backward(yn, kn, -g * yu)
-        for adam, part, grad in zip(dense, mine.parts() + theirs.parts(), gu + [a + b for a, b in zip(gp, gn)]):
-            adam.step(part, slice(None), grad)
-        lazy[0].step(own, *by_row(u, du[:, :dim]))
-        lazy[1].step(items, *by_row(np.concatenate([p, n]), np.concatenate([dp, dn])[:, :dim]))
-    return [items, *mine.parts(), *theirs.parts()], own, total
-
-
-def _fresh_user(user: int, dim: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, 1, user]).normal(0, 0.05, dim)
-
-
-def _epoch(state, config: TrainConfig, epoch: int, steps: int, n_items: int):
-    """One block: trains on a copy of what is shared; gives its users' rows, and one row of what is shared."""
-
-    def run(rows: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        shared, hot = state.value
-        block = int(rows["block"].iloc[0])
-        rows = rows.sort_values(["user", "item"], kind="stable")
-        ids, local = np.unique(rows["user"].to_numpy(), return_inverse=True)
-        first = members.set_index("member").loc[ids]
-        own = np.stack([np.asarray(v) if v is not None else _fresh_user(int(u), config.dim, config.seed) for u, v in zip(ids, first["vec"])])
-        users, items = rows["user"].to_numpy(), rows["item"].to_numpy()
-        keys = [users.astype(np.int64) * n_items + items]
-        keys += [int(u) * n_items + np.asarray(seen, dtype=np.int64) for u, seen in zip(ids, first["seen"]) if seen is not None]
-        sampler = NegativeSampler(np.concatenate(keys), n_items, [config.seed + 31, epoch, block])
-        rng = np.random.default_rng([config.seed, epoch, block])
-        data = local, users, items
-        if config.model == "mf":
-            new, own, total = _mf_block(shared, own, data, config, sampler, steps, rng)
-        else:
-            profile = np.stack([np.asarray(p, dtype=np.float64) for p in first["profile"]])
-            new, own, total = _tower_block(shared, own, data, config, sampler, steps, rng, profile, hot)
-        weights = np.concatenate([x.ravel() for x in new])
-        out = pd.DataFrame({"kind": "user", "id": ids, "x": [v.tolist() for v in own], "loss": 0.0, "steps": np.bincount(local, minlength=len(ids))})
-        # what is shared comes in pieces, to be averaged without any task or the driver holding all blocks' copies
-        pieces = [weights[lo : lo + 65_536] for lo in range(0, len(weights), 65_536)]
-        more = pd.DataFrame({"kind": "shared", "id": range(len(pieces)), "x": [p.tolist() for p in pieces], "loss": total, "steps": steps})
-        return pd.concat([out, more], ignore_index=True)
+class Towers:
+    """Both towers with Adam's moments of their weights."""
+
+    mine: Tower
+    theirs: Tower
+    adams: list[LazyAdam]
+
+    @staticmethod
+    def of(flat: np.ndarray, shapes: list[tuple[int, ...]], t: int, config: TrainConfig) -> Towers:
+        """From all weights, then all m, then all v, laid end to end."""
+        x, m, v = (unpack(part, shapes) for part in np.split(flat, 3))
+        return Towers(Tower(*x[:4]), Tower(*x[4:]), [LazyAdam(a, b, t, config.learning_rate, config.weight_decay) for a, b in zip(m, v)])
+
+    def flat(self) -> np.ndarray:
+        parts = self.mine.parts() + self.theirs.parts()
+        return np.concatenate([x.ravel() for x in parts + [a.m for a in self.adams] + [a.v for a in self.adams]])
+
+
+def unpack(flat: np.ndarray, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
+    ends = np.cumsum([math.prod(x) for x in shapes])[:-1]
+    return [part.reshape(x).copy() for part, x in zip(np.split(flat, ends), shapes)]
+
+
+def _tower_steps(users: Rows, items: Rows, towers, u: np.ndarray, p: np.ndarray, n: np.ndarray, config: TrainConfig) -> float:
+    t, profile, hot = towers
+    yu, ku = t.mine.forward(np.hstack([users.vec[u], profile[u]]))
+    yp, kp = t.theirs.forward(np.hstack([items.vec[p], hot[p]]))
+    yn, kn = t.theirs.forward(np.hstack([items.vec[n], hot[n]]))
+    loss, dyu, dyp, dyn = tower_loss(yu, yp, yn)
+    gu, du = t.mine.backward(yu, ku, dyu)
+    gp, dp = t.theirs.backward(yp, kp, dyp)
+    gn, dn = t.theirs.backward(yn, kn, dyn)
+    for adam, part, grad in zip(t.adams, t.mine.parts() + t.theirs.parts(), gu + [a + b for a, b in zip(gp, gn)]):
+        adam.step(part, slice(None), grad)
+    users.step(u, du[:, : config.dim])
+    items.step(np.concatenate([p, n]), np.concatenate([dp, dn])[:, : config.dim])
+    return loss
+
+
+def fresh(kind: int, ids: np.ndarray, config: TrainConfig) -> np.ndarray:
+    """The first state of rows: normal vectors of deviation 0.05, all else 0. A row's numbers depend on its id alone."""
+    state = np.zeros((len(ids), 3 * (config.dim + 1)))
+    for at, i in enumerate(ids):
+        state[at, : config.dim] = np.random.default_rng([config.seed, kind, int(i)]).normal(0, 0.05, config.dim)
+    return state
+
+
+def _states(part: pd.DataFrame, kind: int, config: TrainConfig) -> np.ndarray:
+    ids, given = part["id"].to_numpy(), part["x"].tolist()
+    new = np.array([x is None for x in given])
+    state = np.zeros((len(ids), 3 * (config.dim + 1)))
+    state[new] = fresh(kind, ids[new], config)
+    if not new.all():
+        state[~new] = np.stack([x for x in given if x is not None])
+    return state
+
+
+_TOUCHED = "kind string, id long, x array<double>, weight double"
+
+
+def _nothing() -> pd.DataFrame:
+    return pd.DataFrame({"kind": [""], "id": [0], "x": [np.zeros(1)], "weight": [0.0]}).iloc[:0]
+
+
+def _unit(towers, shapes, config: TrainConfig, step_share: float, done: int, seed: list[int], only_block: bool):
+    """Trains one unit on the rows (kind, id, other, x, features, seen) of its users, items and interactions."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        kinds = {k: v for k, v in part.groupby("kind")}
+        if not {"row", "user", "item"} <= set(kinds):
+            return _nothing()
+        mine, theirs = kinds["user"].sort_values("id"), kinds["item"].sort_values("id")
+        who, what = mine["id"].to_numpy(), theirs["id"].to_numpy()
+        rows = kinds["row"].sort_values(["id", "other"], kind="stable")
+        if not np.isin(rows["other"], what).all():
+            raise ValueError("an item is not in the catalogue")
+        u, p = np.searchsorted(who, rows["id"].to_numpy()), np.searchsorted(what, rows["other"].to_numpy())
+        users = Rows(_states(mine, 1, config), config.dim, done, config.learning_rate)
+        items = Rows(_states(theirs, 2, config), config.dim, done, config.learning_rate)
+        seen = [(at, np.asarray(x)) for at, x in enumerate(mine["seen"]) if x is not None]
+        su = np.concatenate([u, *(np.full(len(x), at) for at, x in seen)])
+        unseen = Unseen(su, np.concatenate([p, *(np.searchsorted(what, x) for _, x in seen)]), len(who), len(what))
+        full = unseen.left()[u] < 1
+        if full.any() and only_block:
+            raise ValueError(f"user {who[u[full][0]]} has seen every item")
+        u, p = u[~full], p[~full]
+        if not len(u):
+            return _nothing()
+        extra, block = None, int(part["u"].iloc[0])
+        if towers is not None:
+            profile, hot = (np.stack([np.asarray(f, dtype=np.float64) for f in x["features"]]) for x in (mine, theirs))
+            extra = Towers.of(towers.value, shapes, done, config), profile, hot
+        rng = np.random.default_rng([*seed, block])
+        step, steps, total = (_mf_steps if towers is None else _tower_steps), max(1, math.ceil(len(u) * step_share)), 0.0
+        for _ in range(steps):
+            at = rng.integers(0, len(u), config.batch_size)
+            total += step(users, items, extra, u[at], p[at], unseen.draw(u[at], rng), config)
+        out = []
+        for kind, ids, state in (("user", who, users), ("item", what, items)):
+            at = np.flatnonzero(state.touched)
+            out.append(pd.DataFrame({"kind": kind, "id": ids[at], "x": list(state.state[at]), "weight": state.touched[at].astype(float)}))
+        if extra is not None:
+            flat = extra[0].flat()
+            pieces = [flat[lo : lo + PIECE] for lo in range(0, len(flat), PIECE)]
+            out.append(pd.DataFrame({"kind": "tower", "id": range(len(pieces)), "x": pieces, "weight": float(steps)}))
+        out.append(pd.DataFrame({"kind": "loss", "id": [0], "x": [np.array([total / steps])], "weight": float(steps)}))
+        return pd.concat(out, ignore_index=True)
 
     return run
 
 
-def _average(parts: pd.DataFrame) -> pd.DataFrame:
-    steps = parts["steps"].to_numpy(dtype=np.float64)
-    mean = (np.stack(parts["x"]) * steps[:, None]).sum(0) / steps.sum()
-    return pd.DataFrame({"id": [parts["id"].iloc[0]], "x": [mean.tolist()], "loss": [parts["loss"].sum() / steps.sum()]})
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Weighted means of the rows of each (kind, id), which come sorted: one running sum, whatever their number."""
+    key, total, weight = None, None, 0.0
+
+    def out():
+        return pd.DataFrame({"kind": [key[0]], "id": [key[1]], "x": [total / weight], "weight": [weight]})
 
+    for batch in batches:
+        rows = []
+        for kind, i, x, w in zip(batch["kind"], batch["id"], batch["x"], batch["weight"]):
+            if (kind, i) != key:
+                if key is not None:
+                    rows.append(out())
+                key, total, weight = (kind, i), 0.0, 0.0
+            total, weight = total + np.asarray(x) * w, weight + w
+        if rows:
+            yield pd.concat(rows, ignore_index=True)
+    if key is not None:
+        yield out()
 
-def train(rows: DataFrame, n_items: int, config: TrainConfig, profiles: DataFrame | None = None, hot: np.ndarray | None = None, block_rows: int = 2_000_000) -> tuple[DataFrame, Model]:
-    """Users' vectors (user, vec) and the model, from (user, item) with dense item ids below ``n_items``.
 
-    The two-tower model also takes ``profiles`` (user, profile: an array as long as there are genres) and
-    ``hot``, items by genres. Losses are means over the steps of all blocks, one an epoch. There are as many
-    blocks as the settings say, or more where one would hold over ``block_rows`` rows.
+@dataclass
+class Model:
+    """users: (id, x); items: (id, x), x being vector, bias and moments; towers: their weights; losses: one an epoch."""
+
+    config: TrainConfig
+    users: DataFrame
+    items: DataFrame
+    towers: list[np.ndarray]
+    losses: list[float]
+
+    def vectors(self, side: str, features: DataFrame | None = None) -> DataFrame:
+        """(id, vec, bias) of the users or items: factors as they are, or what the tower makes of them and ``features`` (id, features)."""
+        rows, dim = self.users if side == "users" else self.items, self.config.dim
+        rows = rows.select("id", F.slice("x", 1, dim).alias("vec"), F.col("x")[dim].alias("bias"))
+        if self.config.model == "mf":
+            return rows
+        tower = Tower(*self.towers[:4]) if side == "users" else Tower(*self.towers[4:])
+        value = rows.sparkSession.sparkContext.broadcast(tower)  # of a fixed size, whatever the data
+        return rows.join(features, "id").mapInPandas(_encode(value), "id long, vec array<double>").withColumn("bias", F.lit(None).cast("double"))
+
+    def save(self, path: str) -> None:
+        for name in ("users", "items"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}_{name}_state")
+        spark = self.items.sparkSession
+        rows = [(k, [float(x) for x in w.ravel()], list(w.shape)) for k, w in enumerate(self.towers)]
+        spark.createDataFrame(rows, "part int, weights array<double>, shape array<int>").write.mode("overwrite").parquet(f"{path}_parameters")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, config: TrainConfig) -> Model:
+        """A saved model, to give vectors to the ids it knows, or, by a tower, to rows of state and features of others."""
+        towers = [np.array(r["weights"]).reshape(r["shape"]) for r in spark.read.parquet(f"{path}_parameters").orderBy("part").collect()]
+        return Model(config, *(spark.read.parquet(f"{path}_{n}_state") for n in ("users", "items")), towers, [])
+
+
+def train(
+    rows: DataFrame,
+    items: DataFrame,
+    config: TrainConfig,
+    profiles: DataFrame | None = None,
+    hot: DataFrame | None = None,
+    block_rows: int = 2_000_000,
+    item_block: int = ITEM_BLOCK,
+) -> Model:
+    """The model learnt from (user, item) rows over the catalogue ``items`` (item).
+
+    The two-tower model also takes ``profiles`` (user, profile) and ``hot`` (item, hot), arrays as long as there are
+    genres. There are as many blocks of users as the settings say, or more where one would hold over
+    ``block_rows`` rows; and as many of items as hold ``item_block`` each. A user of more rows than half a block is
+    spread over all blocks.
     """
-    from cairn.session import settle
-
-    spark = rows.sparkSession
-    rng = np.random.default_rng([config.seed, 0])
-    items = rng.normal(0, 0.05, (n_items, config.dim))
-    if config.model == "mf":
-        shared: list[np.ndarray] = [items, np.zeros(n_items)]
-    else:
-        if profiles is None or hot is None:
-            raise ValueError("the two-tower model needs profiles and genres")
-        towers = [Tower.new(config.dim + hot.shape[1], config.hidden, config.dim, rng) for _ in range(2)]
-        shared = [items, *towers[0].parts(), *towers[1].parts()]
     n = rows.count()
     if not n:
         raise ValueError("no training rows")
-    blocks = max(config.blocks, math.ceil(2 * n / block_rows))
-    large = rows.groupBy("user").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block_rows // 2).select("user")
-    large = settle(large.join(rows, "user").groupBy("user").agg(F.collect_set("item").alias("seen")))  # at most the catalogue
-    data = rows.select("user", "item").join(F.broadcast(large.select("user", F.lit(True).alias("spread"))), "user", "left")  # at most 2 n / block_rows rows
+    two = config.model == "two-tower"
+    if two and (profiles is None or hot is None):
+        raise ValueError("the two-tower model needs profiles and genres")
+    catalogue = items.select(F.col("item").cast("long").alias("id")).distinct()
+    item_blocks = max(1, -(-catalogue.count() // item_block))
+    blocks = max(config.blocks, -(-2 * n // block_rows), item_blocks)
+    blocks = -(-blocks // item_blocks) * item_blocks
+
+    def in_block(column: str):
+        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(item_blocks)).cast("int")
+
+    large = rows.groupBy("user").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block_rows // 2).select("user", F.lit(True).alias("spread"))
+    data = rows.select("user", "item").join(F.broadcast(large), "user", "left")  # at most 2 n / block_rows rows
     key = F.when(F.col("spread"), F.xxhash64("user", "item")).otherwise(F.xxhash64("user"))
-    data = settle(data.select("user", "item", F.pmod(key, F.lit(blocks)).cast("int").alias("block")))
-    members = data.select("user", "block").distinct().join(large, "user", "left")
-    nothing = F.lit(None).cast("array<double>").alias("profile")
-    members = members.join(profiles, "user") if profiles is not None else members.select("*", nothing)
-    members = settle(members)
+    data = settle(data.select(F.col("user").cast("long").alias("id"), F.col("item").cast("long").alias("other"), "spread", in_block("item").alias("i"), F.pmod(key, F.lit(blocks)).cast("int").alias("u")))
+    # of a spread user each unit also knows the items it has elsewhere: at most an item block
+    known = settle(data.where("spread").groupBy("id", "i").agg(F.collect_set("other").alias("seen")))
+    nothing = F.lit(None).cast("array<double>")
+    homes = settle(data.select("id", "u").distinct())
+    users, things = data.select("id").distinct().withColumn("x", nothing), catalogue.withColumn("x", nothing)
+    mine = profiles.select(F.col("user").cast("long").alias("id"), F.col("profile").alias("features")) if two else None
+    theirs = hot.select(F.col("item").cast("long").alias("id"), F.col("hot").cast("array<double>").alias("features")) if two else None
+    towers, shapes = [], []
+    if two:
+        genres = len(hot.first()["hot"])
+        rng = np.random.default_rng([config.seed, 0])
+        towers = [x for _ in range(2) for x in Tower.new(config.dim + genres, config.hidden, config.dim, rng).parts()]
+        shapes = [x.shape for x in towers]
+    flat = np.concatenate([x.ravel() for x in towers] + [np.zeros(2 * sum(x.size for x in towers))]) if two else None
+    users, things = (settle(x.join(f, "id", "left") if f is not None else x.withColumn("features", nothing)) for x, f in ((users, mine), (things, theirs)))
     steps = config.steps_per_epoch or math.ceil(n / config.batch_size)
-    per_block = max(1, math.ceil(steps / blocks))
-    model, users = Model(shared), data.select("user").distinct().withColumn("vec", F.lit(None).cast("array<double>"))
+    share, done, losses = steps / n, 0, []
+    blank = {"other": F.lit(None).cast("long"), "x": nothing, "features": nothing, "seen": F.lit(None).cast("array<bigint>")}
     for epoch in range(config.epochs):
-        state = spark.sparkContext.broadcast((model.shared, hot))
-        schema = "kind string, id long, x array<double>, loss double, steps int"
-        own = members.join(users, "user").select(F.col("user").alias("member"), F.col("block").alias("home"), "vec", "profile", "seen").groupBy("home")
-        found = settle(data.groupBy("block").cogroup(own).applyInPandas(_epoch(state, config, epoch, per_block, n_items), schema))
-        pieces = found.where("kind = 'shared'").groupBy("id").applyInPandas(_average, "id long, x array<double>, loss double").orderBy("id").collect()
-        flat = np.concatenate([np.asarray(p["x"]) for p in pieces])
-        ends = np.cumsum([x.size for x in model.shared])[:-1]
-        model.shared = [part.reshape(x.shape) for part, x in zip(np.split(flat, ends), model.shared)]
-        model.losses.append(float(pieces[0]["loss"]))
-        weighted = [(F.sum(F.col("x")[i] * F.col("steps")) / F.sum("steps")).alias(f"d{i}") for i in range(config.dim)]
-        users = found.where("kind = 'user'").groupBy(F.col("id").cast("int").alias("user")).agg(*weighted)
-        users = users.select("user", F.array(*(F.col(f"d{i}") for i in range(config.dim))).alias("vec"))
-    if config.model == "two-tower":
-        users = users.join(profiles, "user").mapInPandas(_encode_users(spark.sparkContext.broadcast(Tower(*model.shared[1:5]))), "user int, vec array<double>")
-    return settle(users), model
-
-
-def _encode_users(tower):
+        sums = np.zeros(2)
+        for stratum in range(item_blocks):
+            meets = F.pmod(F.col("u") + stratum, F.lit(item_blocks))
+            spot = data.where(F.col("i") == meets).withColumn("kind", F.lit("row")).withColumns({k: v for k, v in blank.items() if k != "other"})
+            at = homes.join(users, "id").withColumn("i", meets.cast("int")).join(known, ["id", "i"], "left").withColumn("kind", F.lit("user")).withColumn("other", blank["other"])
+            targets = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.pmod(b + stratum, F.lit(item_blocks)) == F.col("i"))
+            stock = things.withColumn("i", in_block("id")).withColumn("u", F.explode(targets)).withColumn("kind", F.lit("item")).withColumns({k: blank[k] for k in ("other", "seen")})
+            names = ["kind", "u", "id", "other", "x", "features", "seen"]
+            unit = spot.select(names).unionByName(at.select(names)).unionByName(stock.select(names))
+            value = rows.sparkSession.sparkContext.broadcast(flat) if two else None
+            work = _unit(value, shapes, config, share, done, [config.seed, epoch, stratum], item_blocks == 1)
+            touched = unit.groupBy("u").applyInPandas(work, _TOUCHED)
+            merged = settle(touched.repartition("kind", "id").sortWithinPartitions("kind", "id").mapInPandas(_merged, _TOUCHED))
+            for r in merged.where("kind = 'loss'").collect():
+                sums += np.array([r["x"][0] * r["weight"], r["weight"]])
+            if two:
+                flat = np.concatenate([np.array(r["x"]) for r in merged.where("kind = 'tower'").orderBy("id").collect()])  # of a fixed size
+            done += max(1, math.ceil(steps / blocks / item_blocks))
+            users, things = (settle(_updated(old, merged.where(F.col("kind") == k))) for k, old in (("user", users), ("item", things)))
+        losses.append(float(sums[0] / max(sums[1], 1)))
+    first = _first(config)
+    users, things = (settle(x.mapInPandas(first(k), "id long, x array<double>")) for k, x in ((1, users.select("id", "x")), (2, things.select("id", "x"))))
+    return Model(config, users, things, unpack(np.split(flat, 3)[0], shapes) if two else [], losses)
+
+
+def _updated(old: DataFrame, new: DataFrame) -> DataFrame:
+    """State with what was touched in place of what was there."""
+    new = new.select("id", F.col("x").alias("now"))
+    return old.join(new, "id", "left").select("id", F.coalesce("now", "x").alias("x"), "features")
+
+
+def _first(config: TrainConfig):
+    """Rows that no unit touched get the state they would have started with."""
+
+    def of(kind: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    gone = batch["x"].isna()
+                    batch = batch.astype({"x": object})
+                    for at, x in zip(batch.index[gone], fresh(kind, batch.loc[gone, "id"].to_numpy(), config)):
+                        batch.at[at, "x"] = x
+                    yield batch
+
+        return run
+
+    return of
+
+
+def _encode(tower):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                x = np.hstack([np.stack(batch["vec"]), np.stack(batch["profile"])])
-                yield pd.DataFrame({"user": batch["user"], "vec": list(tower.value.forward(x)[0])})
+                x = np.hstack([np.stack(batch["vec"]), np.stack(batch["features"])])
+                yield pd.DataFrame({"id": batch["id"], "vec": list(tower.value.forward(x)[0])})
 
     return run
-
-
-def item_matrix(model: Model, config: TrainConfig, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Item vectors, and biases where the model has them."""
-    if config.model == "mf":
-        return model.shared[0], model.shared[1]
-    return Tower(*model.shared[5:9]).forward(np.hstack([model.shared[0], hot]))[0], None

@@ -5,7 +5,6 @@ from __future__ import annotations
 import logging
 from dataclasses import asdict
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,30 +66,35 @@ def prepare(spark: SparkSession, raw: str, out: str, config: PrepareConfig, forc
     return found
 
 
-def genre_arrays(data: dict[str, DataFrame], n_items: int) -> tuple[DataFrame, np.ndarray]:
-    """Profiles as (user, profile array), and the items' genres as a matrix."""
-    names = [r["genre"] for r in P.vocabulary(data["item_genre"]).orderBy("genre_idx").collect()]
+def genre_arrays(data: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Profiles as (user, profile) and items' genres as (item, hot): arrays as long as there are genres."""
+    vocab = P.vocabulary(data["item_genre"])
+    names = [r["genre"] for r in vocab.orderBy("genre_idx").collect()]
     weights = F.map_from_entries(F.collect_list(F.struct("genre", "p")))
     rows = data["profiles"].groupBy("user").agg(weights.alias("m"))
     profiles = rows.select("user", F.transform(F.lit(names), lambda g: F.coalesce(F.try_element_at("m", g), F.lit(0.0))).alias("profile"))
-    hot = np.zeros((n_items, len(names)))
-    at = {g: i for i, g in enumerate(names)}
-    for r in data["item_genre"].collect():  # the catalogue, as the item matrix itself
-        hot[r["item"], at[r["genre"]]] = 1.0
-    return profiles, hot
+    return profiles, P.multi_hot(data["item_genre"], vocab)
+
+
+def fit(data: dict[str, DataFrame], config: TrainConfig, **options) -> tuple[DataFrame, DataFrame, L.Model]:
+    """(users, items) with vectors and biases by id, and the model, from the training rows of ``data``."""
+    profiles, hot = genre_arrays(data) if config.model == "two-tower" else (None, None)
+    rows = data["split"].where("split = 'train'").select("user", "item")
+    model = L.train(rows, data["catalogue"], config, profiles, hot, **options)
+    features = {}
+    if config.model == "two-tower":
+        features = {"users": profiles.select(F.col("user").cast("long").alias("id"), F.col("profile").alias("features")), "items": hot.select(F.col("item").cast("long").alias("id"), F.col("hot").cast("array<double>").alias("features"))}
+    users, items = (model.vectors(side, features.get(side)) for side in ("users", "items"))
+    return users.select(F.col("id").cast("int").alias("user"), "vec"), items.select(F.col("id").cast("int").alias("item"), "vec", "bias"), model
 
 
 def train(spark: SparkSession, data: dict[str, DataFrame], out: str, config: TrainConfig) -> tuple[DataFrame, DataFrame]:
-    """(users, items) with vectors, written with the training log and the model's parameters."""
-    n_items = data["items"].count()
-    profiles, hot = genre_arrays(data, n_items) if config.model == "two-tower" else (None, None)
-    users, model = L.train(data["split"].where("split = 'train'"), n_items, config, profiles, hot)
-    matrix, bias = L.item_matrix(model, config, hot)
-    rows = [(i, [float(x) for x in v], None if bias is None else float(bias[i])) for i, v in enumerate(matrix)]
-    spark.createDataFrame(rows, "item int, vec array<float>, bias float").write.mode("overwrite").parquet(f"{out}/{config.model}_items")
+    """(users, items) with vectors, written with the training log and the model's state."""
+    catalogue = data["items"].select(F.col("item_idx").alias("item"))
+    users, items, model = fit(data | {"catalogue": catalogue}, config)
+    items.select("item", F.col("vec").cast("array<float>"), F.col("bias").cast("float")).write.mode("overwrite").parquet(f"{out}/{config.model}_items")
     users.withColumn("vec", F.col("vec").cast("array<float>")).write.mode("overwrite").parquet(f"{out}/{config.model}_users")
-    weights = [(k, [float(x) for x in w.ravel()], list(w.shape)) for k, w in enumerate(model.shared)]
-    spark.createDataFrame(weights, "part int, weights array<double>, shape array<int>").write.mode("overwrite").parquet(f"{out}/{config.model}_parameters")
+    model.save(f"{out}/{config.model}")
     files.save_json(f"{out}/{config.model}_training.json", asdict(config) | {"loss": model.losses})
     return spark.read.parquet(f"{out}/{config.model}_users"), spark.read.parquet(f"{out}/{config.model}_items")
 

@@ -13,11 +13,10 @@ from cairn.operators import rerank as R
 from cairn.operators import retrieval as T
 from cairn.operators import scoring as S
 from cairn.operators import split as D
-from cairn.operators import training as L
 from cairn.operators import validation as V
 from cairn.operators.encode import dense_ids, require_known
 from cairn.operators.kcore import k_core
-from cairn.plans.pipeline import genre_arrays
+from cairn.plans.pipeline import fit
 from cairn.session import settle
 from cairn.sources import views
 
@@ -219,21 +218,17 @@ def validation_report(spark, d):
     return V.report(checks)
 
 
+def _fitted(spark, d, split, model, **settings):
+    """Users and items of a model trained on the events' training rows, by their own ids."""
+    genres = _genres(spark, d, split)
+    data = {"split": split, "catalogue": split.select("item"), "item_genre": genres, "profiles": P.user_profiles(_train(split), P.item_shares(genres))}
+    return fit(data, TrainConfig(model=model, **{"epochs": 2, "batch_size": 1024} | settings))
+
+
 def _trained(spark, d, model):
     """Each user's Top-20 unseen items from a model trained on the events' training rows."""
     split = ev_split(spark, d)
-    ids = settle(dense_ids(split, "item", "idx"))
-    rows = _train(split).join(ids, "item").select("user", F.col("idx").alias("item"))
-    config = TrainConfig(model=model, epochs=2, batch_size=1024)
-    n_items, profiles, hot = ids.count(), None, None
-    if model == "two-tower":
-        genres = _genres(spark, d, split).join(ids, "item").select(F.col("idx").alias("item"), "genre")
-        mine = P.user_profiles(rows, P.item_shares(genres))
-        profiles, hot = genre_arrays({"item_genre": genres, "profiles": mine}, n_items)
-    users, found = L.train(rows, n_items, config, profiles, hot)
-    matrix, bias = L.item_matrix(found, config, hot)
-    vectors = [(i, [float(x) for x in v], None if bias is None else float(bias[i])) for i, v in enumerate(matrix)]
-    items = spark.createDataFrame(vectors, "idx int, vec array<double>, bias double").join(ids, "idx").select("item", "vec", "bias")
+    users, items, _ = _fitted(spark, d, split, model)
     return T.recommend(users, items, _train(split), TOP)
 
 

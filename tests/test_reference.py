@@ -197,25 +197,52 @@ def test_gradients_match_differences():
         assert g[at] == pytest.approx((up - (y * dy).sum()) / 1e-6, abs=1e-4)
 
 
-def test_negative_sampler():
-    keys = np.array([0 * 5 + i for i in range(4)] + [5 + 2])
-    sampler = training.NegativeSampler(keys, 5, [1])
-    assert set(sampler.sample(np.zeros(50, dtype=int))) == {4} and 2 not in sampler.sample(np.ones(50, dtype=int))
-    with pytest.raises(ValueError, match="every item"):
-        training.NegativeSampler(np.arange(5), 5, [1])
+def test_unseen_items_are_drawn_evenly():
+    """User 0 has all but 4, user 1 only 2, user 2 nothing: every unseen item comes, as often as any other."""
+    unseen = training.Unseen(np.array([0, 0, 0, 0, 1, 1]), np.array([0, 1, 2, 3, 2, 2]), 3, 5)
+    rng = np.random.default_rng(1)
+    assert list(unseen.left()) == [1, 4, 5]
+    assert set(unseen.draw(np.zeros(50, dtype=int), rng)) == {4}
+    for user, want in ((1, {0, 1, 3, 4}), (2, set(range(5)))):
+        drawn = unseen.draw(np.full(4000, user), rng)
+        items, counts = np.unique(drawn, return_counts=True)
+        assert set(items) == want and counts.min() > 0.8 * 4000 / len(want)
 
 
-@pytest.mark.parametrize("block_rows", [1_000_000, 40])
-def test_training_learns(spark, block_rows):
-    """Two groups of users with items of their own, with and without users spread over blocks."""
+@pytest.mark.parametrize("block_rows,item_block", [(1_000_000, 1000), (40, 1000), (1_000_000, 15)])
+def test_training_learns(spark, block_rows, item_block):
+    """Two groups of users with items of their own; with users spread over blocks, and with items in several blocks."""
     rng = np.random.default_rng(0)
     data = [(u, int(i) + 20 * (u % 2)) for u in range(20) for i in rng.choice(20, 12, replace=False)] + [(0, i) for i in (0, 1, 2)] * 5
     config = TrainConfig(dim=8, epochs=3, batch_size=64, steps_per_epoch=300, blocks=2)
-    users, model = training.train(spark.createDataFrame(data, "user int, item int"), 40, config, block_rows=block_rows)
-    assert model.losses[-1] < model.losses[0] < 0.75 and users.count() == 20
-    items, bias = training.item_matrix(model, config)
-    right = [np.mean((items @ np.array(r["vec"]) + bias)[20 * (r["user"] % 2) :][:20]) > np.mean(items @ np.array(r["vec"]) + bias) for r in users.collect()]
-    assert np.mean(right) > 0.9
+    catalogue = spark.range(40).select(F.col("id").cast("int").alias("item"))
+    model = training.train(spark.createDataFrame(data, "user int, item int"), catalogue, config, block_rows=block_rows, item_block=item_block)
+    users, items = model.vectors("users").collect(), sorted(model.vectors("items").collect())
+    assert model.losses[-1] < model.losses[0] < 0.75 and len(users) == 20 and len(items) == 40
+    vec, bias = np.array([r["vec"] for r in items]), np.array([r["bias"] for r in items])
+    scores = {r["id"]: vec @ np.array(r["vec"]) + bias for r in users}
+    assert np.mean([s[20 * (u % 2) :][:20].mean() > s.mean() for u, s in scores.items()]) > 0.9
+
+
+def test_a_user_of_all_items_stops_training(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(3)], "user int, item int")
+    with pytest.raises(Exception, match="seen every item"):
+        training.train(rows, rows.select("item"), TrainConfig(dim=2, batch_size=4, blocks=1))
+    with pytest.raises(ValueError, match="no training rows"):
+        training.train(rows.limit(0), rows.select("item"), TrainConfig())
+
+
+def test_a_saved_model_gives_the_same_vectors(spark, rows, tmp_path):
+    data = spark.createDataFrame([(u, i) for u in range(6) for i in range(u % 3, 8, 2)], "user int, item int")
+    profiles = spark.createDataFrame([(u, [u / 6, 1 - u / 6]) for u in range(6)], "user int, profile array<double>")
+    hot = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(9)], "item int, hot array<float>")
+    config = TrainConfig("two-tower", dim=4, hidden=6, batch_size=8, blocks=2)
+    model = training.train(data, hot.select("item"), config, profiles, hot)
+    model.save(str(tmp_path / "m"))
+    features = hot.select(F.col("item").cast("long").alias("id"), F.col("hot").cast("array<double>").alias("features"))
+    again = training.Model.load(spark, str(tmp_path / "m"), config)
+    assert rows(model.vectors("items", features)) == rows(again.vectors("items", features))
+    assert all(np.linalg.norm(r["vec"]) == pytest.approx(1) for r in again.vectors("items", features).collect()) and again.items.count() == 9
 
 
 def test_settings():
