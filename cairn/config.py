@@ -64,7 +64,7 @@ class RerankWeights:
             raise ValueError("weights must be non-negative and sum to 1")
 
 
-def fingerprint(*configs) -> str:
-    """A hash of settings: cached stages are reused only under the same one."""
-    text = json.dumps([asdict(c) for c in configs], sort_keys=True)
+def fingerprint(*configs, inputs: list | None = None) -> str:
+    """A hash of settings and of the inputs' names, sizes and times: cached stages are reused only under the same one."""
+    text = json.dumps([[asdict(c) for c in configs], inputs], sort_keys=True)
     return hashlib.sha256(text.encode()).hexdigest()[:16]

@@ -45,19 +45,53 @@ def candidate_checks(candidates: DataFrame, latest: DataFrame, history: DataFram
     ]
 
 
-def list_checks(name: str, lists: DataFrame, score: str, k: int, key: str = "user", item: str = "item") -> list[DataFrame]:
+def grouping_checks(split: DataFrame) -> list[DataFrame]:
+    """A user's rows are one run of positions from 0, each once, and every split is one run of them, in order."""
+    users = split.groupBy("user").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count(F.lit(1)).alias("n"), F.count_distinct("pos").alias("d"))
+    ends = split.groupBy("user").agg(*(f(F.when(F.col("split") == s, F.col("pos"))).alias(f"{n}_{s}") for s in ("train", "val", "test") for n, f in (("lo", F.min), ("hi", F.max))))
+    return [
+        _none(users.where("lo <> 0 OR hi <> n - 1 OR d <> n"), "grouped_by_user"),
+        _none(ends.where("hi_train + 1 <> lo_val OR hi_val + 1 <> lo_test"), "splits_follow_each_other"),
+    ]
+
+
+def shape_checks(split: DataFrame, profiles: DataFrame, genres: DataFrame, candidates: DataFrame, negatives: int) -> list[DataFrame]:
+    """Profiles cover all users, genres all items, and each user's candidates in val and test are one more than the negatives."""
+    users, items = split.select("user").distinct(), split.select("item").distinct()
+    sizes = users.crossJoin(candidates.sparkSession.createDataFrame([("val",), ("test",)], "split string"))  # two splits
+    sizes = sizes.join(candidates.groupBy("split", "user").agg(F.count(F.lit(1)).alias("n")), ["split", "user"], "full")
+    return [
+        _none(users.join(profiles, "user", "left_anti").unionByName(profiles.select("user").distinct().join(users, "user", "left_anti")), "profiles_shape"),
+        _none(items.join(genres, "item", "left_anti").unionByName(genres.select("item").distinct().join(items, "item", "left_anti")), "genres_shape"),
+        _none(sizes.where(F.coalesce("n", F.lit(0)) != negatives + 1), "candidates_shape"),
+    ]
+
+
+def list_checks(name: str, lists: DataFrame, score: str, k: int, key: str = "user", item: str = "item", open_items: DataFrame | None = None) -> list[DataFrame]:
     """Lists are unique, as long as they should be, and sorted: a row's score is at most the one's before.
 
-    Neighbouring ranks meet in an equi-join on rank + 1, which needs no window.
+    A list should have ``k`` rows, or as many as ``open_items`` (key, n) leaves where that is fewer; then a key without a list
+    is a fault as well. Neighbouring ranks meet in an equi-join on rank + 1, which needs no window.
     """
     before = lists.select(key, (F.col("rank") + 1).alias("rank"), F.col(score).alias("before"))
+    sizes = lists.groupBy(key).agg(F.count(F.lit(1)).alias("count"))
+    if open_items is not None:
+        sizes = sizes.join(open_items.select(key, "n"), key, "full").withColumn("count", F.coalesce("count", F.lit(0)))
+        sizes = sizes.withColumn("k", F.least(F.lit(k), F.coalesce("n", F.lit(0))))
     return [
         _none(lists.groupBy(key, item).count().where("count > 1"), f"{name}_unique"),
-        _none(lists.groupBy(key).count().where(F.col("count") != k), f"{name}_length"),
+        _none(sizes.where(F.col("count") != (F.lit(k) if open_items is None else F.col("k"))), f"{name}_length"),
         _none(lists.join(before, [key, "rank"]).where(F.col(score) > F.col("before")), f"{name}_sorted"),
     ]
 
 
+def unseen_counts(users: DataFrame, train: DataFrame, items: DataFrame) -> DataFrame:
+    """(user, n): how many of the items a user does not have in training."""
+    known = items.select("item").distinct()
+    seen = train.join(known, "item", "left_semi").groupBy("user").agg(F.count_distinct("item").alias("seen"))
+    return users.select("user").distinct().join(seen, "user", "left").select("user", (F.lit(known.count()) - F.coalesce("seen", F.lit(0))).alias("n"))
+
+
 def containment_check(name: str, part: DataFrame, whole: DataFrame) -> DataFrame:
     return _none(part.join(whole, ["user", "item"], "left_anti"), name)
 

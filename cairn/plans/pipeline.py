@@ -20,14 +20,14 @@ from cairn.operators import training as L
 from cairn.operators import validation as V
 from cairn.operators.encode import dense_ids, require_known
 from cairn.operators.kcore import k_core
-from cairn.sources import files
+from cairn.sources import files, paths
 
 log = logging.getLogger("cairn")
 
 
 def prepare(spark: SparkSession, raw: str, out: str, config: PrepareConfig, force: bool = False) -> dict[str, DataFrame]:
-    """Tables split, users, items, item_genre, profiles and candidates, each made once per setting."""
-    key = fingerprint(config)
+    """Tables split, users, items, item_genre, profiles, candidates, all_seen and train_seen, each made once per setting and input."""
+    key = fingerprint(config, inputs=[paths.stamps(spark, f"{raw}/{name}.csv") for name in ("movies", "ratings")])
 
     def stage(name, make, **options):
         return files.cached(spark, f"{out}/{name}", key, make, force, **options)
@@ -60,6 +60,8 @@ def prepare(spark: SparkSession, raw: str, out: str, config: PrepareConfig, forc
         seeds = {s: config.negative_seed(s) for s in ("val", "test")}
         return C.eval_candidates(positives, parts, by_idx, config.negatives, seeds)
 
+    for name, history in (("all_seen", parts), ("train_seen", parts.where("split = 'train'"))):
+        stage(name, lambda history=history: files.ragged(history))
     found = {"split": parts, "users": users, "items": items, "item_genre": genres, "profiles": profiles, "candidates": stage("candidates", cands)}
     stats = D.dataset_stats(rows, parts, parts, config.min_interactions, config.negatives, config.seed)
     files.save_json(f"{out}/stats.json", stats.first().asDict())
@@ -136,7 +138,9 @@ def rerank(spark: SparkSession, data: dict[str, DataFrame], lists: DataFrame, ou
 def validate(data: dict[str, DataFrame], found: dict[str, DataFrame], out: str, minimum: int, top: int, keep: int) -> DataFrame:
     split = data["split"]
     checks = V.split_checks(split, minimum) + V.profile_checks(data["profiles"]) + V.stats_checks(split, files.load_json(f"{out}/stats.json"))
+    checks += V.grouping_checks(split) + V.shape_checks(split, data["profiles"], data["item_genre"], data["candidates"], files.load_json(f"{out}/stats.json")["negatives"])
     checks += V.candidate_checks(data["candidates"], D.latest(split), split)
+    train = split.where("split = 'train'")
     for model in sorted({n.rpartition("_")[0] for n in found if n.endswith("_lists")}):
         lists, kept = found[f"{model}_lists"], found[f"{model}_kept"]
         for side in ("users", "items"):
@@ -145,7 +149,8 @@ def validate(data: dict[str, DataFrame], found: dict[str, DataFrame], out: str,
         if f"{model}_near" in found:
             near = found[f"{model}_near"]
             checks += [V.self_check(near), V.list_checks(f"{model}_neighbours", near, "inner_product", 0, "item", "neighbor")[2]]
-        checks += V.list_checks(f"{model}_top{top}", lists, "score", top) + [V.unseen_check(f"{model}_top{top}_unseen", lists, split.where("split = 'train'"))]
+        left = V.unseen_counts(found[f"{model}_users"], train, found[f"{model}_items"])
+        checks += V.list_checks(f"{model}_top{top}", lists, "score", top, open_items=left) + [V.unseen_check(f"{model}_top{top}_unseen", lists, train)]
         checks += V.list_checks(f"{model}_top{keep}", kept, "objective", keep)[:2] + [V.containment_check(f"{model}_top{keep}_in_top{top}", kept, lists)]
     report = V.report(checks)
     files.save_json(f"{out}/validation_report.json", [r.asDict() for r in report.collect()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import logging
@@ -12,9 +13,14 @@ from collections.abc import Callable, Sequence
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.operators.encode import number_rows
+from cairn.sources import paths
+
 RATINGS = "userId INT, movieId INT, rating FLOAT, timestamp BIGINT"
 MOVIES = "movieId INT, title STRING, genres STRING"
 log = logging.getLogger("cairn")
@@ -41,22 +47,41 @@ def extract(archive: str, folder: str) -> Path:
     return Path(folder)
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of files."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+def file_hashes(spark: SparkSession, path: str, chunk_bytes: int = 1 << 20) -> DataFrame:
+    """(path, length, sha256) of files of any size: each is read once, in chunks."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+
+    def rows(batches):
+        for batch in batches:
+            hashes = []
+            for uri in batch["path"]:
+                found = hashlib.sha256()
+                with paths.open_input(uri) as f:
+                    while chunk := f.read(chunk_bytes):
+                        found.update(chunk)
+                hashes.append(found.hexdigest())
+            yield batch.assign(sha256=hashes)
+
+    return files.mapInPandas(rows, "path string, length long, sha256 string")
+
+
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of a scan in the order of its files and of the places in them, however it is cut into tasks."""
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("no"))
+    return number_rows(df.withColumn("__place", at), "__place", name="__row").where(F.col("__row") < n).drop("__place", "__row")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, max_rows: int | None = None) -> DataFrame:
     """RFC 4180 CSV with a header; the types are given, or inferred where they aren't. ``max_rows`` keeps the first in file order."""
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
-    return df if max_rows is None else df.limit(max_rows)
+    return df if max_rows is None else first_rows(df, max_rows)
 
 
 def read_ratings(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
     """One line a rating, without quoted line breaks, so that a file is read in parts."""
     df = spark.read.option("header", True).schema(RATINGS).csv(path)
-    return df if max_rows is None else df.limit(max_rows)
+    return df if max_rows is None else first_rows(df, max_rows)
 
 
 def read_movies(spark: SparkSession, path: str) -> DataFrame:
@@ -64,31 +89,73 @@ def read_movies(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, MOVIES).withColumn("catalog_pos", F.monotonically_increasing_id())
 
 
+def obtain(url: str, folder: str, names: Sequence[str], force: bool = False) -> Path:
+    """``folder`` with the files ``names``, from a ZIP file at ``url`` unless all are there; they may lie in a folder of the archive."""
+    home = Path(folder)
+    if force or not all((home / n).exists() for n in names):
+        extract(str(fetch(url, str(home / url.rpartition("/")[2]), force)), folder)
+        for n in names:
+            found = [p for p in home.rglob(n)]
+            if not found:
+                raise FileNotFoundError(f"{n} is not in {url}")
+            if home / n not in found:
+                found[0].replace(home / n)
+    return home
+
+
+_KINDS = {"i4": "int", "i8": "bigint", "f4": "float", "f8": "double", "b1": "boolean"}
+
+
+def _arrays(uri: str, names: Sequence[str] | None) -> dict[str, np.ndarray]:
+    """The arrays named of one file; the members of an archive that aren't named stay unread."""
+    with paths.open_input(uri) as f:
+        found = np.load(f, allow_pickle=False)
+        return {"value": found} if isinstance(found, np.ndarray) else {k: found[k] for k in (names or found.files)}
+
+
 def read_arrays(spark: SparkSession, path: str, names: Sequence[str] | None = None) -> DataFrame:
-    """Arrays of equal length from NPZ or NPY files as columns; only the arrays named are unpacked."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """Arrays of equal length from NPZ or NPY files as columns; only the arrays named are unpacked.
+
+    Files are opened where they lie, one a task, and only the types of the first one's arrays come to the driver.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")
     sample = files.first()
     if sample is None:
         raise FileNotFoundError(path)
 
-    def arrays(content: bytes) -> dict[str, np.ndarray]:
-        found = np.load(io.BytesIO(content), allow_pickle=False)
-        return {"value": found} if isinstance(found, np.ndarray) else {k: found[k] for k in (names or found.files)}
+    def kinds(batches):
+        for batch in batches:
+            rows = [(k, _KINDS[v.dtype.str[1:]], v.ndim) for uri in batch["path"] for k, v in _arrays(uri, names).items()]
+            yield pd.DataFrame(rows, columns=["name", "kind", "dims"])
 
-    kinds = {"i4": "int", "i8": "bigint", "f4": "float", "f8": "double", "b1": "boolean"}
-    first = arrays(sample["content"])
-    schema = ", ".join(f"`{k}` " + "array<" * (v.ndim - 1) + kinds[v.dtype.str[1:]] + ">" * (v.ndim - 1) for k, v in first.items())
+    first = spark.createDataFrame([tuple(sample)], "path string").mapInPandas(kinds, "name string, kind string, dims int").collect()
+    schema = ", ".join(f"`{r['name']}` " + "array<" * (r["dims"] - 1) + r["kind"] + ">" * (r["dims"] - 1) for r in first)
 
     def rows(batches):
-        import pandas as pd
-
         for batch in batches:
-            for content in batch["content"]:
-                yield pd.DataFrame({k: list(v) if v.ndim > 1 else v for k, v in arrays(content).items()})
+            for uri in batch["path"]:
+                yield pd.DataFrame({k: list(v) if v.ndim > 1 else v for k, v in _arrays(uri, names).items()})
 
     return files.mapInPandas(rows, schema)
 
 
+def write_arrays(df: DataFrame, folder: str, name: str = "part") -> list[str]:
+    """The columns of ``df`` as arrays of one NPZ file a partition; the files' URIs. Array columns must be of equal length throughout."""
+    columns = df.columns
+
+    def rows(batches):
+        parts = [b for b in batches if len(b)]
+        if parts:
+            whole, uri = pd.concat(parts), f"{folder}/{name}-{TaskContext.get().partitionId():05d}.npz"
+            held = io.BytesIO()
+            np.savez(held, **{c: np.stack(whole[c]) if whole[c].dtype == object else whole[c].to_numpy() for c in columns})
+            with paths.open_output(uri) as f:
+                f.write(held.getvalue())
+            yield pd.DataFrame({"uri": [uri]})
+
+    return [r["uri"] for r in df.mapInPandas(rows, "uri string").collect()]
+
+
 def write_split(df: DataFrame, path: str) -> None:
     """One folder a split, so that a reader of one split never opens the others."""
     df.write.mode("overwrite").partitionBy("split").parquet(path)
@@ -99,10 +166,10 @@ def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_ragged(df: DataFrame, path: str, user: str = "user", item: str = "item", order: str = "pos") -> None:
-    """Each user's items in order, as one array."""
+def ragged(df: DataFrame, user: str = "user", item: str = "item", order: str = "pos") -> DataFrame:
+    """(user, items): each user's items in order, as one array."""
     lists = df.groupBy(user).agg(F.array_sort(F.collect_list(F.struct(order, item))).alias("x"))
-    lists.select(user, F.col(f"x.{item}").alias("items")).write.mode("overwrite").parquet(path)
+    return lists.select(user, F.col(f"x.{item}").alias("items"))
 
 
 def save_json(path: str, value) -> None:
@@ -126,7 +193,7 @@ def save_row(df: DataFrame, path: str) -> dict:
 def cached(spark: SparkSession, path: str, key: str, make: Callable[[], DataFrame], force: bool = False, partition_by: Sequence[str] = ()) -> DataFrame:
     """The table at ``path`` if it was written under the same ``key``, else ``make()``, written there.
 
-    The key is a hash of the settings the table depends on: other settings never meet an old table. The mark
+    The key is a hash of the settings and the input files the table depends on: others never meet an old table. The mark
     is written last, so that a stage cut short is made again.
     """
     mark = spark.read.text(f"{path}.key") if not force and _exists(spark, f"{path}.key") else None

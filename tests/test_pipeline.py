@@ -42,6 +42,7 @@ def test_run_all(spark, raw, tmp_path):
     assert "Film \"" in sample.first()["title"]
     (wrong,) = validation.stats_checks(spark.read.parquet(f"{out}/split"), stats | {"n_val": stats["n_val"] + 1})[1:2]
     assert wrong.first()["violations"] == 1
+    assert spark.read.parquet(f"{out}/all_seen").count() == spark.read.parquet(f"{out}/train_seen").count() == 12
     again = pipeline.prepare(spark, raw, out, config)
     assert again["candidates"].count() == 12 * 2 * 6
 
@@ -65,6 +66,35 @@ def test_cache_follows_settings(spark, tmp_path, rows):
     assert rows(files.cached(spark, path, "b", one, force=True)) == [(1,)]
 
 
+def test_new_ratings_are_not_met_by_old_tables(spark, raw, tmp_path):
+    """Same settings, other ratings: every stage is made again."""
+    import shutil
+
+    other = shutil.copytree(raw, tmp_path / "raw")
+    first = pipeline.prepare(spark, str(other), str(tmp_path / "out"), PrepareConfig(2, 5, 7))["split"].count()
+    with open(other / "ratings.csv", "a") as f:
+        f.write("5,3,4.0,999\n")
+    assert pipeline.prepare(spark, str(other), str(tmp_path / "out"), PrepareConfig(2, 5, 7))["split"].count() == first + 1
+
+
+def test_short_lists_of_users_with_few_items_left_are_legal(spark):
+    lists = spark.createDataFrame([(1, 1, 5, 0.1), (2, 1, 5, 0.1)], "user int, rank int, item int, score double")
+    left = lambda n: spark.createDataFrame([(1, 1), (2, n)], "user int, n int")
+    assert [validation.list_checks("x", lists, "score", 2, open_items=left(n))[1].first()["violations"] for n in (1, 2)] == [0, 1]
+    none = lists.where("user = 1")
+    assert validation.list_checks("x", none, "score", 2, open_items=left(1))[1].first()["violations"] == 1
+
+
+def test_grouping_and_shapes(spark):
+    split = spark.createDataFrame([(1, 5, 0, "train"), (1, 6, 1, "val"), (1, 7, 2, "test")], "user int, item int, pos int, split string")
+    profiles, genres = spark.createDataFrame([(1, "a", 1.0)], "user int, genre string, p double"), spark.createDataFrame([(5, "a"), (6, "a"), (7, "a")], "item int, genre string")
+    cands = spark.createDataFrame([("val", 1, 6), ("val", 1, 9), ("test", 1, 7), ("test", 1, 9)], "split string, user int, item int")
+    bad = lambda checks: [c.first()["check"] for c in checks if c.first()["violations"]]
+    assert bad(validation.grouping_checks(split) + validation.shape_checks(split, profiles, genres, cands, 1)) == []
+    assert bad(validation.grouping_checks(split.where("pos <> 1"))) == ["grouped_by_user"]
+    assert bad(validation.shape_checks(split, profiles.limit(0), genres.limit(2), cands.limit(3), 1)) == ["profiles_shape", "genres_shape", "candidates_shape"]
+
+
 def test_files(spark, tmp_path, rows):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("d/x.txt", "hello")
@@ -85,8 +115,13 @@ def test_files(spark, tmp_path, rows):
     df = spark.createDataFrame([("train", 1, 5, 0), ("test", 1, 6, 1)], "split string, user int, item int, pos int")
     files.write_split(df, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).where("split = 'test'").count() == 1
-    files.write_ragged(df, str(tmp_path / "r"))
-    assert spark.read.parquet(str(tmp_path / "r")).first()["items"] == [5, 6]
+    assert files.ragged(df).first()["items"] == [5, 6]
+    made = files.write_arrays(spark.range(10).selectExpr("CAST(id AS INT) AS ids", "array(CAST(id AS FLOAT), 0.5F) AS vec").repartition(3), f"file:{tmp_path}/n")
+    assert len(made) == 3 and rows(files.read_arrays(spark, str(tmp_path / "n"), ["vec", "ids"])) == [([float(i), 0.5], i) for i in range(10)]
+    assert files.read_arrays(spark, str(tmp_path / "n"), ["ids"]).columns == ["ids"]
+    lines = spark.range(50).selectExpr("id AS userId", "id AS movieId", "1.0F AS rating", "id AS timestamp")
+    lines.repartitionByRange(4, "userId").sortWithinPartitions("userId").write.option("header", True).csv(str(tmp_path / "c"))
+    assert [r[0] for r in rows(files.read_ratings(spark, str(tmp_path / "c"), 17))] == list(range(17))
     files.save_json(str(tmp_path / "j/x.json"), {"b": "é", "a": 1})
     assert (tmp_path / "j/x.json").read_text(encoding="utf-8") == '{\n  "a": 1,\n  "b": "é"\n}\n'
     assert io.BytesIO(b"") and files.load_json(str(tmp_path / "j/x.json")) == {"a": 1, "b": "é"}
