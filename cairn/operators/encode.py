@@ -39,3 +39,9 @@ def require_known(df: DataFrame, catalogue: DataFrame, key: str) -> None:
     stray = df.select(key).join(catalogue.select(key), key, "left_anti").limit(1).collect()
     if stray:
         raise ValueError(f"{key} {stray[0][0]} is not in the catalogue")
+
+
+def strays(df: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:
+    """(key, n_rows): the non-null values of ``key`` that the catalogue does not have. Rows are counted before the join."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.join(catalogue.select(key), key, "left_anti")

@@ -436,3 +436,33 @@ def _encode(tower):
                 yield pd.DataFrame({"id": batch["id"], "vec": list(tower.value.forward(x)[0])})
 
     return run
+
+
+def draw_negatives(rows: DataFrame, items: DataFrame, seed: int, blocks: int = 8) -> DataFrame:
+    """(user, item, negative): each (user, item) row with an item drawn evenly from those the user does not have.
+
+    Blocks of users draw at the same time, each from its own stream of the seed. ``items`` (item) go to every
+    block: a catalogue beyond ITEM_BLOCK is cut as in training, and users draw from the block of items that a hash of the row names.
+    """
+    item_blocks = max(1, -(-items.select("item").distinct().count() // ITEM_BLOCK))
+    place = [F.pmod(F.xxhash64("user"), F.lit(blocks)).cast("int").alias("u"), F.pmod(F.xxhash64(F.col("item").cast("long")), F.lit(item_blocks)).cast("int").alias("i")]
+    asked = F.pmod(F.xxhash64("user", "item", F.lit(seed)), F.lit(item_blocks)).cast("int")
+    have = rows.select(*place, F.lit("seen").alias("kind"), F.col("user").cast("long").alias("user"), F.col("item").cast("long").alias("item"))
+    want = rows.select(place[0], asked.alias("i"), F.lit("row").alias("kind"), F.col("user").cast("long").alias("user"), F.col("item").cast("long").alias("item"))
+    stock = items.select("item").distinct().select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("u"), place[1], F.lit("item").alias("kind"), F.lit(None).cast("long").alias("user"), F.col("item").cast("long").alias("item"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        kinds = {k: v for k, v in part.groupby("kind")}
+        if "row" not in kinds or "item" not in kinds:
+            return pd.DataFrame({"user": [], "item": [], "negative": []})
+        row, what = kinds["row"].sort_values(["user", "item"], kind="stable"), np.sort(kinds["item"]["item"].to_numpy())
+        seen = kinds.get("seen", row.iloc[:0])
+        who = np.unique(np.concatenate([row["user"], seen["user"]]).astype(np.int64))
+        unseen = Unseen(np.searchsorted(who, seen["user"].to_numpy()), np.searchsorted(what, seen["item"].to_numpy()), len(who), len(what))
+        users = np.searchsorted(who, row["user"].to_numpy())
+        if (unseen.left()[users] < 1).any():
+            raise ValueError("a user has seen every item")
+        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, int(part["u"].iloc[0]), int(part["i"].iloc[0])])))
+        return pd.DataFrame({"user": row["user"].to_numpy(), "item": row["item"].to_numpy(), "negative": what[unseen.draw(users, rng)]})
+
+    return have.unionByName(want).unionByName(stock).groupBy("u", "i").applyInPandas(run, "user long, item long, negative long")

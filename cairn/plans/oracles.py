@@ -96,9 +96,13 @@ ch{n} AS MATERIALIZED (SELECT * FROM ch{n - 1} UNION ALL SELECT u, i, {n}, objec
 
 
 _CHOSEN = f"SELECT u AS \"user\", step AS rank, i AS item, round(objective, 6) AS objective FROM ch{KEEP}"
-_CHECKS = """train_all_users_present val_all_users_present test_all_users_present train_before_val val_before_test minimum_item_interactions
-minimum_user_interactions profiles_sum_to_one positive_is_latest negatives_unseen candidates_unique top20_unique top20_length top20_sorted top20_unseen
-top5_unique top5_length top5_in_top20 neighbours_unique neighbours_length neighbours_sorted neighbours_exclude_self items_finite items_unit_length""".split()
+SPLIT_CHECKS = """train_all_users_present val_all_users_present test_all_users_present train_before_val val_before_test minimum_item_interactions
+minimum_user_interactions""".split()
+SHAPE_CHECKS = "grouped_by_user splits_follow_each_other profiles_shape genres_shape candidates_shape".split()
+CANDIDATE_CHECKS = "positive_is_latest negatives_unseen candidates_unique".split()
+_CHECKS = [*SPLIT_CHECKS, "profiles_sum_to_one", *SHAPE_CHECKS, *CANDIDATE_CHECKS, "train_count_matches_stats", "val_count_matches_stats", "test_count_matches_stats"]
+_CHECKS += """top20_unique top20_length top20_sorted top20_unseen top5_unique top5_length top5_in_top20 neighbours_unique neighbours_length neighbours_sorted
+neighbours_exclude_self items_finite items_unit_length""".split()
 
 
 def _metric(k: int) -> str:
@@ -146,4 +150,9 @@ ix AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS item_idx FROM (SELECT DIS
 SELECT user_idx, us.u AS "userId", r.rank, item_idx, r.item AS "movieId", title, genres, objective AS rerank_score
 FROM ({_CHOSEN}) r JOIN us ON us.u = r."user" JOIN ix ON ix.i = r.item JOIN ({_CATALOGUE}) p ON p.i = r.item WHERE user_idx < 100""",
     "validation_report": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', 0, true)" for c in _CHECKS) + ') t("check", violations, ok)',
+    **{
+        f"train_{m}_topk": f"""WITH {_EV_SPLIT}, seen AS (SELECT u, count(DISTINCT i) FILTER (split = 'train') AS c FROM s GROUP BY u)
+SELECT u AS "user", least({TOP}, (SELECT count(DISTINCT i) FROM s) - c) AS n_rows, least({TOP}, (SELECT count(DISTINCT i) FROM s) - c) AS n_items, 0::BIGINT AS n_seen, 0::BIGINT AS n_unsorted FROM seen"""
+        for m in ("mf", "two_tower")
+    },
 }

@@ -211,7 +211,9 @@ def validation_report(spark, d):
     cands, lists, near = settle(_candidates(split)), settle(_lists(spark, d, split)), settle(item_neighbors(spark, d))
     reranked = settle(_reranked(spark, d, split))
     checks = V.split_checks(split, EV.min_interactions) + V.profile_checks(profiles) + V.candidate_checks(cands, D.latest(split), split)
-    checks += V.list_checks("top20", lists, "score", TOP) + [V.unseen_check("top20_unseen", lists, _train(split))]
+    checks += V.grouping_checks(split) + V.shape_checks(split, profiles, _genres(spark, d, split), cands, EV.negatives)
+    checks += V.stats_checks(split, D.dataset_stats(split, split, split, EV.min_interactions, EV.negatives, EV.seed).first().asDict())
+    checks += V.list_checks("top20", lists, "score", TOP, open_items=V.unseen_counts(split, _train(split), _items(spark, d, split))) + [V.unseen_check("top20_unseen", lists, _train(split))]
     checks += V.list_checks("top5", reranked, "objective", KEEP)[:2] + [V.containment_check("top5_in_top20", reranked, lists)]
     checks += V.list_checks("neighbours", near, "inner_product", NEAR, "item", "neighbor") + [V.self_check(near)]
     checks += V.embedding_checks("items", views.item_vectors(spark, d), DIM, unit=True)
@@ -226,10 +228,14 @@ def _fitted(spark, d, split, model, **settings):
 
 
 def _trained(spark, d, model):
-    """Each user's Top-20 unseen items from a model trained on the events' training rows."""
+    """What the Top-20 unseen items of a model trained on the events' training rows keep to, user by user."""
     split = ev_split(spark, d)
     users, items, _ = _fitted(spark, d, split, model)
-    return T.recommend(users, items, _train(split), TOP)
+    lists = settle(T.recommend(users, items, _train(split), TOP))
+    seen = _train(split).select("user", "item").distinct().withColumn("seen", F.lit(1))
+    before = lists.select("user", (F.col("rank") + 1).alias("rank"), F.col("score").alias("before"))
+    rows = lists.join(seen, ["user", "item"], "left").join(before, ["user", "rank"], "left")
+    return rows.groupBy("user").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("item").alias("n_items"), F.count("seen").alias("n_seen"), F.count_if(F.col("score") > F.col("before")).alias("n_unsorted"))
 
 
 def train_mf_topk(spark, d):

@@ -174,13 +174,14 @@ def ragged(df: DataFrame, user: str = "user", item: str = "item", order: str = "
 
 def save_json(path: str, value) -> None:
     """Sorted keys, two spaces, non-ASCII as it is."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False, default=str) + "\n", encoding="utf-8")
+    text = json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False, default=str) + "\n"
+    with paths.open_output(path) as f:
+        f.write(text.encode())
 
 
 def load_json(path: str):
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+    with paths.open_input(path) as f:
+        return json.loads(f.read())
 
 
 def save_row(df: DataFrame, path: str) -> dict:

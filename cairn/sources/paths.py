@@ -25,7 +25,8 @@ def open_input(uri: str):
 
 def open_output(uri: str):
     fs, path = filesystem(uri)
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    if folder := path.rpartition("/")[0]:
+        fs.create_dir(folder, recursive=True)
     return fs.open_output_stream(path)
 
 
