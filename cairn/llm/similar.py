@@ -5,12 +5,13 @@ to a bounded sample and chosen for each vector by beam search. What is stored of
 norm of that sum, and the length of what it leaves. A query's inner products with all sums are sums of entries of
 one lookup table, its products with all codewords; with the norms they give its distances to the sums.
 
-The index is laid out by cells, the nearest of a coarse codebook whose size grows with the square root of the
-collection. A vector's codes go to its ``spill`` nearest cells, as they are small; a query, which is large,
-goes to its nearest cell only. A cell of any size is cut into blocks of codes and blocks of queries; each pair
-of blocks is one unit of work. Every pair goes on to be scored exactly, unless its score plus a margin for the
-quantiser's error is below ``min_similarity``, or below the ``k``-th best score less that margin; the best
-``rerank`` of a query in each unit go on in any case.
+The index is laid out by cells, of which there are as many as the square root of the collection; where that is more
+than one codebook should hold, a cell is a pair of words of two, the second for what the first leaves, and so on. A
+vector's codes go to its ``spill`` nearest cells, as they are small; a query, which is large, goes to its nearest cell
+only. The codes that a batch has for a cell travel as one row. A cell of any size is cut into blocks of codes and
+blocks of queries; each pair of blocks is one unit of work. Every pair goes on to be scored exactly, unless its score
+plus a margin for the quantiser's error is below ``min_similarity``, or below the ``k``-th best score less that margin;
+the best ``rerank`` of a query in each unit go on in any case. Vectors lie partitioned by item for that: pairs travel to them.
 
 Items of one direction are one class. Classes are indexed and searched by their first item; what is found is
 then given to all items of a class, each neighbouring class standing for its ``k + 1`` smallest items.
@@ -36,6 +37,8 @@ from cairn.session import settle
 DIGITS = 12
 #: What a product loses by the query's 11 bits, as a share of the sum's length.
 HALF = 2.0**-11
+#: Codes scored at once against a block of queries.
+CODES = 1_024
 
 
 def _assign(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -58,9 +61,9 @@ def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 
 @dataclass
 class Quantiser:
-    """coarse: the cells' centres; books: levels x codewords x dimensions."""
+    """coarse: one or more codebooks that together make the cells; books: levels x codewords x dimensions."""
 
-    coarse: np.ndarray
+    coarse: list[np.ndarray]
     books: np.ndarray
 
     def encode(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,14 +83,24 @@ class Quantiser:
         return codes[:, 0], x - rest[:, 0]
 
     def cells(self, x: np.ndarray, most: int) -> np.ndarray:
-        cost = (self.coarse**2).sum(1) - 2.0 * x @ self.coarse.T
-        most = min(most, cost.shape[1])
-        near = np.argpartition(cost, most - 1, axis=1)[:, :most] if most < cost.shape[1] else np.tile(np.arange(most), (len(x), 1))
-        return np.take_along_axis(near, np.argsort(np.take_along_axis(cost, near, 1), axis=1), 1)
-
-
-def fit(x: np.ndarray, cells: int, levels: int, words: int, rounds: int = 6, seed: int = 11) -> Quantiser:
-    """Residual k-means on the sample, then the coarse cells."""
+        """The ``most`` nearest cells of each vector, nearest first, by a beam as wide."""
+        at, rest = np.zeros((len(x), 1), dtype=np.int64), x[:, None, :]
+        for words in self.coarse:
+            b = rest.shape[1]
+            flat = np.ascontiguousarray(rest).reshape(len(x) * b, -1)
+            cost = ((flat**2).sum(1)[:, None] - 2.0 * flat @ words.T + (words**2).sum(1)).reshape(len(x), -1)
+            keep = min(most, cost.shape[1])
+            near = np.argpartition(cost, keep - 1, axis=1)[:, :keep] if keep < cost.shape[1] else np.tile(np.arange(keep), (len(x), 1))
+            near = np.take_along_axis(near, np.argsort(np.take_along_axis(cost, near, 1), axis=1), 1)
+            who, word = near // len(words), near % len(words)
+            if words is not self.coarse[-1]:
+                rest = np.take_along_axis(rest, who[:, :, None], 1) - words[word]
+            at = np.take_along_axis(at, who, 1) * len(words) + word
+        return at
+
+
+def fit(x: np.ndarray, cells: int, levels: int, words: int, rounds: int = 6, seed: int = 11, coarse_words: int = 4096) -> Quantiser:
+    """Residual k-means on the sample; then the cells, from one codebook or, beyond ``coarse_words``, from several of equal sizes."""
     rng = np.random.default_rng(seed)
     books, rest = [], x
     for _ in range(levels):
@@ -96,18 +109,28 @@ def fit(x: np.ndarray, cells: int, levels: int, words: int, rounds: int = 6, see
             book = np.concatenate([book, np.zeros((words - len(book), x.shape[1]), dtype=x.dtype)])
         rest = rest - book[_assign(rest, book)]
         books.append(book)
-    return Quantiser(k_means(x, cells, rounds, rng), np.stack(books).astype(np.float32))
+    coarse, rest, parts = [], x, max(1, math.ceil(math.log(max(cells, 2)) / math.log(coarse_words)))
+    for _ in range(parts):
+        coarse.append(k_means(rest, math.ceil(cells ** (1 / parts)), rounds, rng))
+        rest = rest - coarse[-1][_assign(rest, coarse[-1])]
+    return Quantiser(coarse, np.stack(books).astype(np.float32))
 
 
-def usable(df: DataFrame, item: str, vector: str) -> DataFrame:
-    """(item, v): one unit vector an item, of those that are not null, not all zero, and finite throughout.
+def usable(df: DataFrame, item: str, vector: str, parts: int) -> DataFrame:
+    """(item, v): one vector an item, partitioned by item, of those that are not null, not all zero, and finite throughout.
 
     Of several usable vectors of an item the first in order counts. The most frequent length must be all
     lengths: a mixture raises an error when scored.
     """
-    rows = df.select(F.col(item).alias("item"), F.col(vector).cast("array<double>").alias("v")).where("item IS NOT NULL AND v IS NOT NULL")
+    rows = _fine(df, item, vector).repartition(parts, "item")
+    return rows.groupBy("item").agg(F.min("v").alias("v"))
+
+
+def _fine(df: DataFrame, item: str, vector: str) -> DataFrame:
+    kind = df.schema[vector].dataType.simpleString()
+    rows = df.select(F.col(item).alias("item"), F.col(vector).cast(kind if kind == "array<float>" else "array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return rows.where(fine).groupBy("item").agg(F.min("v").alias("v"))
+    return rows.where("item IS NOT NULL AND v IS NOT NULL").where(fine)
 
 
 def _unit(series: pd.Series) -> np.ndarray:
@@ -116,32 +139,72 @@ def _unit(series: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _classed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The direction of each vector, to DIGITS, as a key."""
-    for batch in batches:
-        if len(batch):
-            x = np.rint(_unit(batch["v"]) * 10.0**DIGITS).astype(np.int64)
-            yield batch.assign(key=[hashlib.sha256(r.tobytes()).digest() for r in x])
+_ENCODED = "key binary, codes binary, norm float, error float, cells array<int>, q binary"
 
 
 def _encode(model, beam: int, spill: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = model.value
-        for batch in batches:
-            for lo in range(0, len(batch), 1024):
-                part = batch.iloc[lo : lo + 1024]
-                x = _unit(part["v"]).astype(np.float32)
-                codes, sums = q.encode(x, beam)
-                yield pd.DataFrame(
+    """What is stored of a vector: its direction to DIGITS as a key, its codes, the sum's norm, what it leaves, its cells, and itself in 16 bits."""
+
+    @F.pandas_udf(_ENCODED)
+    def run(vectors: pd.Series) -> pd.DataFrame:
+        q, out = model.value, []
+        for lo in range(0, len(vectors), 1024):
+            unit = _unit(vectors.iloc[lo : lo + 1024])
+            x = unit.astype(np.float32)
+            codes, sums = q.encode(x, beam)
+            keys = np.rint(unit * 10.0**DIGITS).astype(np.int64)
+            out.append(
+                pd.DataFrame(
                     {
-                        "item": part["item"].to_numpy(),
+                        "key": [hashlib.sha256(r.tobytes()).digest() for r in keys],
                         "codes": [c.tobytes() for c in codes],
                         "norm": np.linalg.norm(sums, axis=1),
                         "error": np.linalg.norm(x - sums, axis=1),
-                        "cells": list(q.cells(x, spill)),
+                        "cells": list(q.cells(x, spill).astype(np.int32)),
                         "q": [v.tobytes() for v in x.astype(np.float16)],
                     }
                 )
+            )
+        return pd.concat(out, ignore_index=True)
+
+    return run
+
+
+_CODE = np.dtype([("norm", "<f4"), ("slack", "<f4")])
+
+
+def _packed(plan, margin: float):
+    """The codes of a batch, laid end to end for each cell and block: items, codes, and norms with slacks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells, blocks = plan.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            spill = len(batch["cells"].iloc[0])
+            cell = np.concatenate(batch["cells"].to_list())
+            at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+            asked = cells[at] == cell  # a cell without queries needs no codes
+            who, cell, at = np.repeat(np.arange(len(batch)), spill)[asked], cell[asked], at[asked]
+            part = batch["place"].to_numpy()[who] % blocks[at]
+            order = np.lexsort((part, cell))
+            who, cell, part = who[order], cell[order], part[order]
+            first = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])])) if len(cell) else np.zeros(0, dtype=int)
+            items = batch["two"].to_numpy()
+            codes = np.frombuffer(b"".join(batch["codes"]), dtype=np.uint8).reshape(len(batch), -1)
+            extra = np.empty(len(batch), dtype=_CODE)
+            extra["norm"] = batch["norm"].to_numpy()
+            extra["slack"] = margin * batch["error"].to_numpy() + HALF * extra["norm"]
+            cuts = [slice(lo, hi) for lo, hi in zip(first, np.append(first[1:], len(who)))]
+            yield pd.DataFrame(
+                {
+                    "cell": cell[first],
+                    "c": part[first],
+                    "twos": [items[who[x]].tobytes() for x in cuts],
+                    "codes": [codes[who[x]].tobytes() for x in cuts],
+                    "extra": [extra[who[x]].tobytes() for x in cuts],
+                }
+            )
 
     return run
 
@@ -155,33 +218,53 @@ def _contenders(dot: np.ndarray, half: np.ndarray, slack: np.ndarray, k: int, re
     return np.isfinite(dot) & ((dot + slack >= sure) | (near >= last))
 
 
-def _score(model, k: int, rerank: int, min_similarity: float, margin: float):
+def _search(books: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, slack: np.ndarray, k: int, rerank: int, least: float) -> tuple[np.ndarray, ...]:
+    """(query, code, score) of the pairs that go on. Rows of the lookup tables hold one codeword's products with all queries, so that a code reads whole lines."""
+    tables = [np.ascontiguousarray(words @ x.T) for words in books]
+    found, held = [], np.empty((CODES, len(x)), dtype=np.float32)
+    for lo in range(0, len(codes), CODES):
+        part = codes[lo : lo + CODES]
+        score, line = tables[0][part[:, 0]], held[: len(part)]
+        for level in range(1, len(books)):
+            np.take(tables[level], part[:, level], axis=0, out=line, mode="clip")
+            score += line
+        good = score >= (least - slack[lo : lo + CODES])[:, None]
+        many = np.flatnonzero(good.sum(axis=0) > rerank)
+        if len(many):
+            dense = np.where(good[:, many], score[:, many], -np.inf).T
+            good[:, many] = _contenders(dense, norm[lo : lo + CODES] ** 2 / 2, slack[lo : lo + CODES], k + 1, rerank + 1).T
+        what, who = np.nonzero(good)
+        found.append((who, what + lo, score[what, who]))
+    who, what, score = (np.concatenate(f) for f in zip(*found))
+    return who, what, score
+
+
+def _score(model, kind: np.dtype, k: int, rerank: int, min_similarity: float):
     """One unit: all queries of one block against all codes of one block."""
 
-    def run(queries: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
+    def run(queries: pd.DataFrame, packs: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(queries) and len(codes):
+        if len(queries) and len(packs):
             books = model.value.books
-            codes = codes.sort_values("two")
-            c = np.frombuffer(b"".join(codes["codes"]), dtype=np.uint8).reshape(len(codes), -1).astype(np.intp)
-            items, norm = codes["two"].to_numpy(), codes["norm"].to_numpy().astype(np.float32)
-            slack = margin * codes["error"].to_numpy().astype(np.float32) + HALF * norm
+            codes = np.frombuffer(b"".join(packs["codes"]), dtype=np.uint8).reshape(-1, len(books)).astype(np.intp)
+            items, extra = np.frombuffer(b"".join(packs["twos"]), dtype=kind), np.frombuffer(b"".join(packs["extra"]), dtype=_CODE)
+            norm, slack = np.ascontiguousarray(extra["norm"]), np.ascontiguousarray(extra["slack"])
             for lo in range(0, len(queries), 256):
                 part = queries.iloc[lo : lo + 256]
                 x = np.frombuffer(b"".join(part["q"]), dtype=np.float16).reshape(len(part), -1).astype(np.float32)
                 mine = part["one"].to_numpy()
-                score = np.zeros((len(part), len(items)), dtype=np.float32)
-                for level, words in enumerate(books):
-                    score += (x @ words.T)[:, c[:, level]]
-                score[items[None, :] == mine[:, None]] = -np.inf
-                if min_similarity > -1:
-                    score[score + slack < min_similarity] = -np.inf
-                good = np.isfinite(score)
-                many = np.flatnonzero(good.sum(axis=1) > rerank)
-                if len(many):
-                    good[many] = _contenders(score[many], norm**2 / 2, slack, k, rerank)
-                who, what = np.nonzero(good)
-                out.append(pd.DataFrame({"one": mine[who], "two": items[what]}))
+                who, what, score = _search(books, x, codes, norm, slack, k, rerank, min_similarity)
+                other = mine[who] != items[what]
+                who, what, score = who[other], what[other], score[other]
+                # of the pairs from all pieces of the block, those that still may count
+                order = np.argsort(who, kind="stable")
+                who, what, score = who[order], what[order], score[order]
+                counts = np.bincount(who, minlength=len(part))
+                keep, ends = np.ones(len(who), dtype=bool), np.cumsum(counts)
+                for q in np.flatnonzero(counts > rerank):
+                    at = slice(ends[q] - counts[q], ends[q])
+                    keep[at] = _contenders(score[None, at], norm[what[at]] ** 2 / 2, slack[what[at]], k, rerank)[0]
+                out.append(pd.DataFrame({"one": mine[who[keep]], "two": items[what[keep]]}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"one": [], "two": []})
 
     return run
@@ -208,83 +291,88 @@ def neighbours(
     margin: float = 0.5,
     fit_rows: int = 16_384,
     block: int = 8_192,
+    coarse_words: int = 4_096,
 ) -> DataFrame:
     """(item, rank, neighbour, similarity): for every item the ``k`` most similar others, of cosine ``min_similarity`` or more.
 
     Equally similar ones come in order of the item. Null, all-zero and non-finite vectors take no part; an item counts once.
     Items with vectors of one direction, however many, are neighbours of similarity 1. The codebooks are fitted on ``fit_rows``
-    classes chosen by a hash of their first item; every class is indexed and every class is a query. A score may fall short by
+    rows chosen by a hash of their item; every class is indexed and every class is a query. A score may fall short by
     ``margin`` times the length of what the quantiser leaves of a vector before its pair is given up. An empty
     table gives no rows. Other columns of ``df`` are ignored.
     """
     if k < 1 or words > 256:
         raise ValueError("k must be at least 1, words at most 256")
     spark = df.sparkSession
-    kind = df.schema[item].dataType.simpleString()
-    members = settle(usable(df, item, vector).mapInPandas(_classed, f"item {kind}, v array<double>, key binary"))
-    rows = settle(members.groupBy("key").agg(F.min_by("v", "item").alias("v"), F.min("item").alias("item")))
-    n = rows.count()
-    pairs = spark.createDataFrame([], f"one {kind}, two {kind}, similarity double")
-    if n > 1:
-        pairs = _class_pairs(rows.select("item", "v"), kind, n, k, min_similarity, levels, words, beam, spill, rerank, margin, fit_rows, block)
-    return _for_members(members.select("item", "key"), rows.select("key", F.col("item").alias("class")), pairs, k, min_similarity)
-
-
-def _class_pairs(
-    rows: DataFrame, kind: str, n: int, k: int, min_similarity: float, levels: int, words: int, beam: int, spill: int, rerank: int, margin: float, fit_rows: int, block: int
-) -> DataFrame:
-    """(one, two, similarity), one < two: the pairs of classes that were found, scored exactly."""
-    spark = rows.sparkSession
-    sample = rows.orderBy(F.xxhash64("item")).limit(fit_rows).select("v").toPandas()
-    cells = 1 << max(2, min(12, round(math.log2(math.sqrt(n)))))
-    model = spark.sparkContext.broadcast(fit(_unit(sample["v"]).astype(np.float32), min(cells, len(sample)), levels, min(words, len(sample))))
+    fine = _fine(df, item, vector)
+    n = fine.count()
+    if not n:
+        return spark.createDataFrame([], f"item {df.schema[item].dataType.simpleString()}, rank int, neighbour {df.schema[item].dataType.simpleString()}, similarity double")
+    sample = fine.orderBy(F.xxhash64("item"), "item").limit(fit_rows).toPandas().drop_duplicates("item")
+    cells = 1 << max(2, round(math.log2(math.sqrt(n))))
+    x = _unit(sample["v"]).astype(np.float32)
+    model = spark.sparkContext.broadcast(fit(x, min(cells, len(x)), levels, min(words, len(x)), coarse_words=coarse_words))
     parts = max(spark.sparkContext.defaultParallelism, n // 50_000)
-    encoded = settle(rows.repartition(parts).mapInPandas(_encode(model, beam, spill), f"item {kind}, codes binary, norm float, error float, cells array<int>, q binary"))
-
-    codes = encoded.select(F.col("item").alias("two"), F.col("codes").alias("codes"), F.col("norm").alias("norm"), F.col("error").alias("error"), F.explode("cells").alias("cell"))
-    queries = encoded.select(F.col("item").alias("one"), F.col("q").alias("q"), F.col("cells")[0].alias("cell"))
-    # sizes of at most 4096 cells; blocks follow from them, so that no unit is larger than a block by a block
-    sizes = codes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("code_blocks"))
-    asked = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("query_blocks"))
-    plan = F.broadcast(settle(sizes.join(asked, "cell")))
-    mine = F.pmod(F.xxhash64("two"), F.col("code_blocks")).cast("int")
-    codes = codes.join(plan, "cell").select("two", "codes", "norm", "error", "cell", mine.alias("c"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("b"))
-    mine = F.pmod(F.xxhash64("one"), F.col("query_blocks")).cast("int")
-    queries = queries.join(plan, "cell").select("one", "q", "cell", F.explode(F.sequence(F.lit(0), F.col("code_blocks") - 1)).alias("c"), mine.alias("b"))
+    encoded = usable(df, item, vector, parts).withColumn("e", _encode(model, beam, spill)("v")).select("item", "v", "e.*")
+    encoded = settle(encoded)
+    classes = settle(encoded.groupBy("key").agg(F.min("item").alias("class"), F.count(F.lit(1)).alias("n")))
+    # items that another one of their class stands for: few, or else hot classes, which a join on the item spreads
+    spoken = encoded.select("item", "key").join(classes.where("n > 1"), "key").where("item <> class").select("item")
+    firsts = encoded.join(spoken, "item", "left_anti")
+    pairs = _class_pairs(firsts, encoded.select("item", "v"), model, k, min_similarity, rerank, margin, block)
+    return _for_members(encoded.select("item", "key"), classes, pairs, k, min_similarity)
+
+
+def _class_pairs(firsts: DataFrame, vectors: DataFrame, model, k: int, min_similarity: float, rerank: int, margin: float, block: int) -> DataFrame:
+    """(one, two, similarity), one < two: the pairs of classes that were found, scored exactly."""
+    spark, kind = vectors.sparkSession, vectors.schema["item"].dataType.simpleString()
+    queries = settle(firsts.select(F.col("item").alias("one"), "codes", "norm", "error", "cells", "q"))
+    # codes and queries of each cell, for the sizes of its blocks: as many rows as there are cells, the root of the items
+    sizes = queries.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("codes"))
+    asked = queries.groupBy(F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("queries"))
+    plan = sizes.join(asked, "cell").orderBy("cell").toPandas()
+    cells, code_blocks, query_blocks = (plan["cell"].to_numpy(), *(-(-plan[c].to_numpy() // block) for c in ("codes", "queries")))
+    blocks = spark.createDataFrame(pd.DataFrame({"cell": cells, "cs": code_blocks.astype(np.int32), "bs": query_blocks.astype(np.int32)}))
+    held = spark.sparkContext.broadcast((cells, code_blocks))
+    place = F.pmod(F.xxhash64("one"), F.lit(2**31 - 1))
+    codes = queries.select(F.col("one").alias("two"), place.alias("place"), "codes", "norm", "error", "cells")
+    codes = codes.mapInPandas(_packed(held, margin), "cell int, c int, twos binary, codes binary, extra binary")
+    codes = codes.join(F.broadcast(blocks.select("cell", "bs")), "cell").select("cell", "c", F.explode(F.sequence(F.lit(0), F.col("bs") - 1)).alias("b"), "twos", "codes", "extra")
+    mine = queries.select("one", "q", F.col("cells")[0].alias("cell"), place.alias("place")).join(F.broadcast(blocks), "cell")
+    mine = mine.select("one", "q", "cell", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"), F.pmod("place", F.col("bs")).cast("int").alias("b"))
     unit = ["cell", "c", "b"]
-    found = queries.groupBy(*unit).cogroup(codes.groupBy(*unit)).applyInPandas(
-        _score(model, k, rerank, min_similarity, margin), f"one {kind}, two {kind}"
-    )
+    numbers = np.dtype({"int": "<i4", "bigint": "<i8", "smallint": "<i2", "tinyint": "<i1"}[kind])
+    found = mine.groupBy(*unit).cogroup(codes.groupBy(*unit)).applyInPandas(_score(model, numbers, k, rerank, min_similarity), f"one {kind}, two {kind}")
     # a pair found from either side serves both
-    found = found.select(F.explode(F.array(F.struct("one", "two"), F.struct(F.col("two").alias("one"), F.col("one").alias("two")))).alias("p")).select("p.*")
-    found = found.where("one < two").distinct()
-    found = found.join(rows.select(F.col("item").alias("one"), F.col("v").alias("v1")), "one")
-    found = found.join(rows.select(F.col("item").alias("two"), F.col("v").alias("v2")), "two")
-    found = found.mapInPandas(_exact, f"one {kind}, two {kind}, similarity double")
+    found = found.select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")).distinct()
+    for side, v in (("one", "v1"), ("two", "v2")):
+        found = found.join(vectors.select(F.col("item").alias(side), F.col("v").alias(v)), side)
+    found = found.select("one", "two", "v1", "v2").mapInPandas(_exact, f"one {kind}, two {kind}, similarity double")
     return found.where(F.col("similarity") >= min_similarity).withColumn("similarity", F.round("similarity", DIGITS))
 
 
-def _for_members(members: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, min_similarity: float, salts: int = 8) -> DataFrame:
+def _for_members(members: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, min_similarity: float, spread: int = 65_536) -> DataFrame:
     """(item, rank, neighbour, similarity) of all members, from the pairs of classes.
 
     The ``k`` best classes beside its own, each by its ``k + 1`` smallest members, hold the ``k`` best of any member. A
-    class has one list of ``k + 1``, copied to salts; a member leaves itself out of it.
+    class has one list of ``k + 1``, of which a class of more than ``spread`` members has a copy for as many; a member leaves itself out of it.
     """
-    both = pairs.select(
-        F.explode(F.array(F.struct(F.col("one").alias("class"), F.col("two").alias("near"), "similarity"), F.struct(F.col("two").alias("class"), F.col("one").alias("near"), "similarity"))).alias("p")
-    ).select("p.*")
+    one, two = F.struct(F.col("one").alias("class"), F.col("two").alias("near"), "similarity"), F.struct(F.col("two").alias("class"), F.col("one").alias("near"), "similarity")
+    both = pairs.select(F.explode(F.array(one, two)).alias("p")).select("p.*")
     best = W.partitionBy("class").orderBy(F.desc("similarity"), "near")
     both = both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
-    members = members.join(classes, "key").drop("key")
+    members = settle(members.join(classes, "key").select("class", "item", F.ceil(F.col("n") / spread).cast("int").alias("copies")))
     first = members.withColumn("rank", F.row_number().over(W.partitionBy("class").orderBy("item"))).where(F.col("rank") <= k + 1)
     first = settle(first.select(F.col("class").alias("near"), F.col("item").alias("neighbour")))
     own = first.select(F.col("near").alias("class"), "neighbour", F.lit(1.0).alias("similarity")).where(F.col("similarity") >= min_similarity)
     listed = both.join(first, "near").select("class", "neighbour", "similarity").unionByName(own)
     order = W.partitionBy("class").orderBy(F.desc("similarity"), "neighbour")
     listed = listed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1)
-    listed = listed.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "similarity"))).alias("list"))
-    listed = listed.where(F.size("list") > 1).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    members = members.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(salts)).cast("int"))
+    listed = listed.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "similarity"))).alias("list")).where(F.size("list") > 1)
+    large = F.broadcast(classes.select("class", F.ceil(F.col("n") / spread).cast("int").alias("copies")).where("copies > 1"))  # at most one in ``spread`` items
+    salts = F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)
+    listed = listed.join(large, "class", "left").select("class", "list", F.explode(salts).alias("salt"))
+    members = members.select("class", "item", F.pmod(F.xxhash64("item"), F.col("copies")).cast("int").alias("salt"))
     found = members.join(listed, ["class", "salt"])
     found = found.select("item", F.posexplode(F.slice(F.filter("list", lambda x: x["neighbour"] != F.col("item")), 1, k)).alias("pos", "n"))
     return found.select("item", (F.col("pos") + 1).alias("rank"), F.col("n.neighbour").alias("neighbour"), F.col("n.similarity").alias("similarity"))

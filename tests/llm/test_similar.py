@@ -23,12 +23,12 @@ def brute(v, k, least):
     return out
 
 
-@pytest.mark.parametrize("least,block", [(0.8, 8192), (0.8, 40), (-1.0, 8192)])
-def test_recall_and_exact_scores(spark, least, block):
-    """Against brute force; blocks smaller than a cell change nothing but the layout."""
+@pytest.mark.parametrize("least,block,coarse", [(0.8, 8192, 4096), (0.8, 40, 4096), (0.8, 8192, 4), (-1.0, 8192, 4096)])
+def test_recall_and_exact_scores(spark, least, block, coarse):
+    """Against brute force; blocks smaller than a cell change nothing but the layout; cells may be of several codebooks."""
     v = make(600, 1)
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "item int, vec array<float>")
-    found = neighbours(df, "item", "vec", 5, least, words=64, block=block)
+    found = neighbours(df, "item", "vec", 5, least, words=64, block=block, coarse_words=coarse)
     got, want = {tuple(r) for r in similar_pairs(found).collect()}, brute(v, 5, least)
     assert len(got & want) >= (0.99 if least > 0 else 0.9) * len(want)
     if least > 0:
@@ -42,7 +42,17 @@ def test_many_copies(spark):
     v = make(300, 3, copies=100)
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "item int, vec array<double>")
     found = neighbours(df, "item", "vec", 3, 0.9, words=32, block=64).where("item = 50").orderBy("rank").collect()
-    assert [r["similarity"] for r in found] == [pytest.approx(1.0)] * 3
+    assert [r["similarity"] for r in found] == [pytest.approx(1.0)] * 3 and [r["neighbour"] for r in found] == [0, 1, 2]
+
+
+def test_two_thousand_copies_and_scaled_copies(spark):
+    """Exact copies and scaled ones of another vector, amid others: every list is that of brute force."""
+    rng = np.random.default_rng(6)
+    v = make(600, 9)
+    v = np.concatenate([v, np.tile(v[3], (2000, 1)), v[5] * rng.uniform(0.01, 90, (2000, 1))])[rng.permutation(4600)]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "item int, vec array<double>")
+    got, want = {tuple(r) for r in similar_pairs(neighbours(df, "item", "vec", 3, 0.8, words=64)).collect()}, brute(v, 3, 0.8)
+    assert got == want
 
 
 def test_copies_beyond_the_candidates(spark):
@@ -79,6 +89,8 @@ def test_beam_search_lowers_the_error():
     x = make(400, 5).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     q = fit(x, 8, 4, 32)
+    deep = fit(x, 40, 4, 32, coarse_words=8)
+    assert len(deep.coarse) == 2 and deep.cells(x, 16).max() < 49 and all(len(set(r)) == 16 for r in deep.cells(x, 16))
     narrow, wide = (np.linalg.norm(x - q.encode(x, b)[1], axis=1).mean() for b in (1, 8))
     codes, sums = q.encode(x, 8)
     assert wide <= narrow < 1 and codes.shape == (400, 4)
