@@ -332,7 +332,8 @@ def _class_pairs(firsts: DataFrame, vectors: DataFrame, model, k: int, min_simil
     asked = queries.groupBy(F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("queries"))
     plan = sizes.join(asked, "cell").orderBy("cell").toPandas()
     cells, code_blocks, query_blocks = (plan["cell"].to_numpy(), *(-(-plan[c].to_numpy() // block) for c in ("codes", "queries")))
-    blocks = spark.createDataFrame(pd.DataFrame({"cell": cells, "cs": code_blocks.astype(np.int32), "bs": query_blocks.astype(np.int32)}))
+    # both sides of the cogroup need the same types: equal numbers of other types hash to other partitions
+    blocks = spark.createDataFrame([(int(c), int(n), int(m)) for c, n, m in zip(cells, code_blocks, query_blocks)] or [], "cell int, cs int, bs int")
     held = spark.sparkContext.broadcast((cells, code_blocks))
     place = F.pmod(F.xxhash64("one"), F.lit(2**31 - 1))
     codes = queries.select(F.col("one").alias("two"), place.alias("place"), "codes", "norm", "error", "cells")
