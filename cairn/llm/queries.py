@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairn.llm.cooccur import pairs
-from cairn.llm.leaks import find_leaks
+from cairn.llm.leaks import find_leaks, leaked_shares
 from cairn.llm.packing import VOCABULARY, pack_texts
 from cairn.llm.similar import neighbours, similar_pairs
 from cairn.llm.sql import ORACLES
@@ -32,7 +33,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of the train table that at least 12 users have both, more often than chance at the level SIGNIFICANT."""
     found = pairs(tables(spark, d, "train"), "user_idx", "item_idx", min_support=12, min_llr=SIGNIFICANT)
-    return found.select("item_a", "item_b", "n_ab", "n_a", "n_b", "lift", "llr")
+    return found.select("item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 4).alias("lift"), F.round("llr", 4).alias("llr"))
 
 
 def p7_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -44,6 +45,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold 13 words within two word edits of 13 of an item's; ``exact`` where they are the same. A window is found with probability 0.999."""
+    found = find_leaks(tables(spark, d, "documents"), "doc_id", "text", tables(spark, d, "eval_items"), "item_id", "text", window_words=13, max_edits=2, recall=0.999)
+    return found.select("doc_id", "item_id", (F.col("edits") == 0).alias("exact"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """In how many documents each test item leaked."""
+    return leaked_shares(p8_found(spark, d), tables(spark, d, "eval_items"), "item_id")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_truncated(tables(spark, d, "documents"), "doc_id", "text").where("truncated").select("doc_id").distinct()
 
@@ -53,6 +65,6 @@ def p9_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation_by_source(find_truncated(tables(spark, d, "documents"), "doc_id", "text", "source"), "source")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_windows": p7_windows, "p8_found": p8_found, "p9_found": p9_found, "p9_sources": p9_sources}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_windows": p7_windows, "p8_found": p8_found, "p8_near": p8_near, "p8_items": p8_items, "p9_found": p9_found, "p9_sources": p9_sources}
 
 __all__ = ["ORACLES", "QUERIES"]

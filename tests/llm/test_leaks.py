@@ -39,25 +39,26 @@ def brute(docs, items, size):
     return sorted(out)
 
 
-@pytest.mark.parametrize("broadcast", [leaks.BROADCAST_WINDOWS, 0])
+@pytest.mark.parametrize("broadcast", [leaks.BROADCAST_BYTES, 0])
 def test_exact_windows_both_ways(spark, broadcast):
     docs, items = make(1)
-    found = find_leaks(spark.createDataFrame(docs, "id int, text string"), "id", "text", spark.createDataFrame(items, "item int, text string"), "item", "text", broadcast_windows=broadcast)
+    found = find_leaks(spark.createDataFrame(docs, "id int, text string"), "id", "text", spark.createDataFrame(items, "item int, text string"), "item", "text", broadcast_bytes=broadcast)
     assert sorted((r["id"], r["item"]) for r in found.collect()) == brute(docs, items, 13) != []
 
 
-@pytest.mark.parametrize("broadcast", [leaks.BROADCAST_WINDOWS, 0])
-def test_near_windows_reach_the_recall(spark, broadcast):
-    """Every pair within one substituted word is known by brute force; a recall of 0.99 is asked for; the few pairs here allow for one miss."""
-    docs, items = make(2, 1)
+@pytest.mark.parametrize("broadcast", [leaks.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("most", [1, 2])
+def test_near_windows_reach_the_recall(spark, broadcast, most):
+    """Every pair within so many edits is known by brute force; a recall of 0.99 is asked for; the few pairs here allow for one miss."""
+    docs, items = make(2, most)
     want = set()
     for d, t in docs:
         v = leaks.words(t or "")
         for i, text in items:
             w = leaks.words(text or "")
-            if any(edits(v[a : a + 13], w[b : b + 13], 1) <= 1 for a in range(len(v) - 12) for b in range(len(w) - 12)):
+            if any(edits(v[a : a + 13], w[b : b + 13], most) <= most for a in range(len(v) - 12) for b in range(len(w) - 12)):
                 want.add((d, i))
-    found = find_leaks(spark.createDataFrame(docs, "id int, text string"), "id", "text", spark.createDataFrame(items, "item int, text string"), "item", "text", max_edits=1, recall=0.99, broadcast_windows=broadcast)
+    found = find_leaks(spark.createDataFrame(docs, "id int, text string"), "id", "text", spark.createDataFrame(items, "item int, text string"), "item", "text", max_edits=most, recall=0.99, broadcast_bytes=broadcast)
     got = {(r["id"], r["item"]) for r in found.collect()}
     assert got <= want and len(got) >= len(want) - 1 and set(brute(docs, items, 13)) <= got
 
@@ -76,6 +77,21 @@ def test_edits():
         a, b = (rng.choices("abc", k=rng.randint(0, 9)) for _ in range(2))
         for most in (0, 1, 3, 10):
             assert edits(a, b, most) == min(plain(a, b), most + 1)
+    a, b = (np.array([rng.choices(range(3), k=9) for _ in range(300)], dtype=np.uint64) for _ in range(2))
+    for most in (0, 2, 4):
+        assert list(leaks.edits_of_many(a, b, most)) == [min(plain(list(x), list(y)), most + 1) for x, y in zip(a, b)]
+
+
+def test_windows_without_a_shared_run_are_passed_over():
+    """Exactly those windows go on that hold one of the items' runs; equal windows always do."""
+    rng = np.random.default_rng(1)
+    item, text = rng.integers(0, 2**63, 20, dtype=np.uint64), rng.integers(0, 2**63, 60, dtype=np.uint64)
+    text[30:34] = item[3:7]
+    bitmap = np.zeros(1 << 22, dtype=np.uint8)
+    leaks._mark(bitmap, leaks._places(leaks.runs(item, 4), 25))
+    where = np.arange(48)
+    assert list(np.flatnonzero(leaks.promising(text, where, 13, 4, bitmap, 25))) == list(range(21, 31))
+    assert leaks.run_length(13, 2) == 4 and leaks.run_length(13, 0) == 13
 
 
 def test_equal_windows_share_keys_anywhere():
