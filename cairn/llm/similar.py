@@ -11,7 +11,7 @@ vector's codes go to its ``spill`` nearest cells, as they are small; a query, wh
 only. The codes that a batch has for a cell travel as one row. A cell of any size is cut into blocks of codes and
 blocks of queries; each pair of blocks is one unit of work. Every pair goes on to be scored exactly, unless its score
 plus a margin for the quantiser's error is below ``min_similarity``, or below the ``k``-th best score less that margin;
-the best ``rerank`` of a query in each unit go on in any case. Vectors lie partitioned by item for that: pairs travel to them.
+the best ``rerank`` of a query in each unit go on in any case.
 
 Items of one direction are one class. Classes are indexed and searched by their first item; what is found is
 then given to all items of a class, each neighbouring class standing for its ``k + 1`` smallest items.
@@ -139,11 +139,11 @@ def _unit(series: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-_ENCODED = "key binary, codes binary, norm float, error float, cells array<int>, q binary"
+_ENCODED = "key binary, codes binary, norm float, error float, cells array<int>"
 
 
 def _encode(model, beam: int, spill: int):
-    """What is stored of a vector: its direction to DIGITS as a key, its codes, the sum's norm, what it leaves, its cells, and itself in 16 bits."""
+    """What is stored of a vector: its direction to DIGITS as a key, its codes, the sum's norm, what it leaves, and its cells."""
 
     @F.pandas_udf(_ENCODED)
     def run(vectors: pd.Series) -> pd.DataFrame:
@@ -161,7 +161,6 @@ def _encode(model, beam: int, spill: int):
                         "norm": np.linalg.norm(sums, axis=1),
                         "error": np.linalg.norm(x - sums, axis=1),
                         "cells": list(q.cells(x, spill).astype(np.int32)),
-                        "q": [v.tobytes() for v in x.astype(np.float16)],
                     }
                 )
             )
@@ -170,6 +169,16 @@ def _encode(model, beam: int, spill: int):
     return run
 
 
+def _half():
+    """Unit vectors in 16 bits a number."""
+
+    @F.pandas_udf("binary")
+    def run(vectors: pd.Series) -> pd.Series:
+        return pd.Series([v.tobytes() for v in _unit(vectors).astype(np.float16)] if len(vectors) else [], dtype=object)
+
+    return run
+
+
 _CODE = np.dtype([("norm", "<f4"), ("slack", "<f4")])
 
 
@@ -326,7 +335,7 @@ def neighbours(
 def _class_pairs(firsts: DataFrame, vectors: DataFrame, model, k: int, min_similarity: float, rerank: int, margin: float, block: int) -> DataFrame:
     """(one, two, similarity), one < two: the pairs of classes that were found, scored exactly."""
     spark, kind = vectors.sparkSession, vectors.schema["item"].dataType.simpleString()
-    queries = settle(firsts.select(F.col("item").alias("one"), "codes", "norm", "error", "cells", "q"))
+    queries = firsts.select(F.col("item").alias("one"), "codes", "norm", "error", "cells", "v")
     # codes and queries of each cell, for the sizes of its blocks: as many rows as there are cells, the root of the items
     sizes = queries.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("codes"))
     asked = queries.groupBy(F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("queries"))
@@ -339,7 +348,7 @@ def _class_pairs(firsts: DataFrame, vectors: DataFrame, model, k: int, min_simil
     codes = queries.select(F.col("one").alias("two"), place.alias("place"), "codes", "norm", "error", "cells")
     codes = codes.mapInPandas(_packed(held, margin), "cell int, c int, twos binary, codes binary, extra binary")
     codes = codes.join(F.broadcast(blocks.select("cell", "bs")), "cell").select("cell", "c", F.explode(F.sequence(F.lit(0), F.col("bs") - 1)).alias("b"), "twos", "codes", "extra")
-    mine = queries.select("one", "q", F.col("cells")[0].alias("cell"), place.alias("place")).join(F.broadcast(blocks), "cell")
+    mine = queries.select("one", _half()("v").alias("q"), F.col("cells")[0].alias("cell"), place.alias("place")).join(F.broadcast(blocks), "cell")
     mine = mine.select("one", "q", "cell", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"), F.pmod("place", F.col("bs")).cast("int").alias("b"))
     unit = ["cell", "c", "b"]
     numbers = np.dtype({"int": "<i4", "bigint": "<i8", "smallint": "<i2", "tinyint": "<i1"}[kind])
