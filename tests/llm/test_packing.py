@@ -72,3 +72,28 @@ def test_edge_cases(spark):
     assert (r["id"], r["source"], r["window"], r["start"]) == (None, "", 0, 0)
     with pytest.raises(ValueError):
         pack_texts(df, "id", "text", "source", capacity=0)
+
+
+def test_faults_and_report(spark):
+    """No fault in what was laid; each kind of fault is counted; the mixture's distance by hand."""
+    from cairn.llm.packing import count_tokens, packing_faults, packing_report
+
+    df = spark.createDataFrame(texts(3), "id int, source string, text string")
+    laid, counted = pack_texts(df, "id", "text", "source", 256), count_tokens(df, "id", "text", "source")
+    good = packing_faults(laid, counted, "id", 256).first()
+    assert (good["n_overfull"], good["n_apart"], good["n_divided"], good["n_lost"]) == (0, 0, 0, 0) and good["n_texts"] == 201
+    assert packing_report(laid, "source", 256).first()["fill"] > 0.98
+    kind = "id int, source string, piece int, n_tokens long, part int, window int, start int"
+    bad = spark.createDataFrame([(1, "x", 0, 6, 0, 0, 0), (1, "x", 1, 2, 0, 0, 8), (2, "y", 0, 4, 0, 1, 1)], kind)
+    want = spark.createDataFrame([(1, "x", 0, 8), (2, "y", 0, 5)], "id int, source string, h long, n long")
+    assert tuple(packing_faults(bad, want, "id", 9).first()) == (2, 1, 2, 1, 1)
+    even = spark.createDataFrame([(1, "x", 0, 6, 0, 0, 0), (2, "y", 0, 2, 0, 0, 6), (3, "y", 0, 8, 0, 1, 0)], kind)
+    found = packing_report(even, "source", 8).first()
+    assert (found["windows"], found["fill"]) == (2, 1.0) and found["mean_distance"] == pytest.approx(0.375)
+
+
+def test_parts_stay_small_without_ids(spark):
+    """Rows without an id, and rows alike in all, are dealt to parts as evenly as others."""
+    df = spark.createDataFrame([(None, "x", "alpha beta")] * 400, "id int, source string, text string")
+    sizes = [r["count"] for r in pack_texts(df, "id", "text", "source", 256, texts_per_part=50).groupBy("part").count().collect()]
+    assert sum(sizes) == 400 and len(sizes) == 8 and max(sizes) < 100

@@ -66,3 +66,21 @@ def test_edge_cases(spark):
     found = find_truncated(df, "id", "text")
     assert sorted(r["id"] or 0 for r in found.collect()) == [0, 4, 5, 6, 6, 7, 8]
     assert found.where("p_end IS NULL OR truncated IS NULL OR p_end < 0 OR p_end > 1").count() == 0
+
+
+def test_runs_share_no_views(spark):
+    """Two runs in one session, the first read after the second was planned; no view is left."""
+    one = find_truncated(spark.createDataFrame([(1, "One whole sentence. Another whole sent")], "id int, text string"), "id", "text")
+    two = find_truncated(spark.createDataFrame([(2, "Quite another text."), (3, "Quite another text.")], "id int, text string"), "id", "text")
+    assert [r["id"] for r in one.collect()] == [1] and sorted(r["id"] for r in two.collect()) == [2, 3]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("cairn_")]
+
+
+def test_an_ending_of_many_texts(spark, monkeypatch):
+    """A verdict that has several copies reaches every text once."""
+    from cairn.llm import truncation
+
+    monkeypatch.setattr(truncation, "SPREAD", 3)
+    rows = [(i, f"Page {i} says things.\nHome About") for i in range(20)] + [(50, "Alone it st")]
+    found = find_truncated(spark.createDataFrame(rows, "id int, text string"), "id", "text").collect()
+    assert sorted(r["id"] for r in found) == [*range(20), 50]
