@@ -29,7 +29,7 @@ from cairn.session import remove_path, scratch_path, settle
 from cairn.sources.paths import open_input, open_output
 
 #: Rows of a row group; of small groups read at once.
-ROW_GROUP, WAVE = 8_192, 65_536
+ROW_GROUP, WAVE = 2_048, 65_536
 
 
 def _cuts(groups: pa.Array, size: int) -> list[int]:
