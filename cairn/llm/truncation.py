@@ -36,18 +36,19 @@ TAIL = 300
 SPREAD = 65_536
 
 _MARKS = r"(?:\\s*(?:…|\\.{3,}|â€¦|\\[\\.\\.\\.\\]))+\\s*$"
+#: What every mark of _MARKS holds: texts without any need no search for them.
+_HAS_MARK = " OR ".join(f"contains({{x}}, '{m}')" for m in ("…", "...", "â€¦"))
 #: Steps to tokens with a blank between any two. \x01 ends a line or sentence, two \x02 begin a line, two \x03 a sentence.
 _STEPS = (
-    r"regexp_replace({x}, '[\\x01-\\x03]', ' ')",
-    r"regexp_replace({x}, '(?m)" + _MARKS + "', '')",
+    r"replace(replace(replace({x}, '\u0001', ' '), '\u0002', ' '), '\u0003', ' ')",
+    r"transform(array({x}), x -> IF(" + _HAS_MARK.replace("{x}", "x") + r", regexp_replace(x, '(?m)" + _MARKS + "', ''), x))[0]",
     r"regexp_replace({x}, '\\p{N}+', ' 0 ')",
     r"regexp_replace({x}, '([.!?](?:[ \\u00a0]?[\"”“»’)�])?) +(?=[\\p{Lu}¿¡«\"„“‘(])', '$1 \u0001 \u0003 \u0003 ')",
     r"regexp_replace({x}, '([^\\p{L}\\p{M}0\\s\\x01-\\x03])', ' $1 ')",
     r"regexp_replace(trim({x}), '\\s*[\\r\\n]\\s*', ' \u0001 \u0002 \u0002 ')",
-    r"regexp_replace(concat('\u0002 \u0002 ', {x}, ' \u0001'), '[ \\t\\u00a0]+', ' ')",
+    r"regexp_replace(concat('\u0002 \u0002 ', {x}, ' \u0001'), '[ \\t\\x0B\\f\\u00a0]{2,}|[\\t\\x0B\\f\\u00a0]', ' ')",
 )
 _CLASS = r"regexp_replace({x}, '(?<!\\S)\\p{Lu}\\S*', 'X')"
-_TOKEN = r"[^\\s\\x01]+ "
 
 
 def _tokens(x: str) -> str:
@@ -60,15 +61,21 @@ def _class(x: str) -> str:
     return _CLASS.replace("{x}", x)
 
 
-_ANCHORED = ", ".join(rf"regexp_extract_all(line, '\\x02 (\\x02 (?:[^\\s\\x01-\\x03]+ ){{{k}}}\\x01?)', 1)" for k in (3, 4, 5, 6))
+#: Three tokens in a row of one sentence or line, each with the mark of its end behind it; null where one is such a mark.
+_TRIGRAMS = r"""transform(array(split(line, ' ')), a -> transform(slice(a, 1, greatest(size(a) - 3, 0)), (w, i) -> IF(w = '\u0001' OR a[i + 1] = '\u0001' OR a[i + 2] = '\u0001', NULL,
+  concat(w, ' ', a[i + 1], ' ', a[i + 2], ' ', IF(a[i + 3] = '\u0001', '\u0001', '')))))[0]"""
+#: The first 3 to 6 tokens of each line, from what stands between the lines' starts.
+_ANCHORED = r"""flatten(transform(slice(split(line, '\\x02 \\x02 '), 2, 1000000000), l -> filter(transform(array(3, 4, 5, 6), k -> concat('\u0002 ', substring_index(l, ' ', k), ' ',
+  IF(substring(l, length(substring_index(l, ' ', k)) + 2, 1) = '\u0001', '\u0001', ''), repeat('\u0003', CAST(length(substring_index(l, ' ', k)) = length(l) AS INT)))),
+  g -> NOT rtrim('\u0001', g) RLIKE '[\\x01\\x03\\t-\\r]')))"""
 #: (gram, n, ends): trigrams; and the first 3 to 6 tokens of lines, which begin with one \x02 and have 3 blanks or more.
 GRAMS = rf"""
 SELECT gram, sum(n) AS n, sum(IF(ended, n, 0)) AS ends FROM (
-  SELECT rtrim(translate(g, '\u0001', '')) AS gram, right(g, 1) = '\u0001' AS ended, n FROM (
+  SELECT rtrim(replace(g, '\u0001', '')) AS gram, right(g, 1) = '\u0001' AS ended, n FROM (
     SELECT g, count(*) AS n FROM (
-      SELECT explode(concat(regexp_extract_all(line, '(?=({_TOKEN * 3}\\x01?))\\S+', 1), {_ANCHORED})) AS g
+      SELECT explode(concat({_TRIGRAMS}, {_ANCHORED})) AS g
       FROM (SELECT {_tokens("text")} AS line FROM (SELECT DISTINCT text FROM cairn_texts WHERE text IS NOT NULL)))
-    GROUP BY g))
+    WHERE g IS NOT NULL GROUP BY g))
 GROUP BY gram
 """
 #: GRAMS with one end for all distinct texts of one tail.
@@ -98,7 +105,7 @@ SELECT raw, concat(head, left(word, k)) AS kind, sum(n) AS longer FROM (
   LEFT SEMI JOIN (SELECT DISTINCT raw AS r, left(kind, length(kind) - length(substring_index(kind, ' ', -1))) AS h FROM cairn_finals) ON raw = r AND head = h)
 GROUP BY 1, 2
 """
-_LAST_LINE = r"substring_index(translate(trim(TRAILING ' \t\r\n\u00a0' FROM text), '\r', '\n'), '\n', -1)"
+_LAST_LINE = r"substring_index(replace(trim(TRAILING ' \t\r\n\u00a0' FROM text), '\r', '\n'), '\n', -1)"
 _TAIL = rf"right(regexp_replace(right(trim(TRAILING ' \t\r\n\u00a0' FROM text), {TAIL + 40}), '{_MARKS}', ''), {TAIL})"
 #: The last line of each text: its final trigram, and the whole line if it has 3 to 6 tokens and one sentence.
 ENDINGS = rf"""
