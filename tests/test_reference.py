@@ -12,13 +12,20 @@ from cairn.operators.encode import dense_ids, number_rows, require_known
 from cairn.operators.kcore import k_core
 
 
-def test_k_core_rounds(spark, rows):
-    """Dropping item 9 leaves user 3 one row short, which drops them in the next round."""
+@pytest.mark.parametrize("one_task", [0, 4, 1000])
+def test_k_core_rounds(spark, rows, one_task):
+    """Dropping item 9 leaves user 3 one row short, which drops them in the next round; by rounds of the cluster, of one task, or of both."""
     data = [(1, 7), (1, 8), (2, 7), (2, 8), (3, 8), (3, 9)]
-    core, kept = k_core(spark.createDataFrame(data, "user int, item int"), 2)
+    core, kept = k_core(spark.createDataFrame(data, "user int, item int"), 2, one_task=one_task)
     assert rows(core) == data[:4] and kept == [5, 4, 4]
     with pytest.raises(ValueError, match="empty core"):
-        k_core(spark.createDataFrame(data, "user int, item int"), 5)
+        k_core(spark.createDataFrame(data, "user int, item int"), 5, one_task=one_task)
+    with pytest.raises(ValueError, match="empty core"):
+        k_core(spark.createDataFrame([], "user int, item int"), 1, one_task=one_task)
+    whole, kept = k_core(spark.createDataFrame(data, "user int, item int"), 1, one_task=one_task)
+    assert rows(whole) == data and kept == [6]
+    odd, kept = k_core(spark.createDataFrame([*data, (None, 7), (None, 7), (1, None)], "user int, item int"), 2, one_task=one_task)
+    assert rows(odd) == data[:4] and kept == [5, 4, 4]
 
 
 def test_k_core_counts_rows(spark):
