@@ -39,6 +39,8 @@ DIGITS = 12
 HALF = 2.0**-11
 #: Codes scored at once against a block of queries.
 CODES = 1_024
+#: Items, all but the first of their classes, that are broadcast at most; beyond, they are joined.
+SPOKEN = 1_000_000
 
 
 def _assign(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -325,9 +327,10 @@ def neighbours(
     encoded = usable(df, item, vector, parts).withColumn("e", _encode(model, beam, spill)("v")).select("item", "v", "e.*")
     encoded = settle(encoded)
     classes = settle(encoded.groupBy("key").agg(F.min("item").alias("class"), F.count(F.lit(1)).alias("n")))
-    # items that another one of their class stands for: few, or else hot classes, which a join on the item spreads
+    # items that another one of their class stands for
     spoken = encoded.select("item", "key").join(classes.where("n > 1"), "key").where("item <> class").select("item")
-    firsts = encoded.join(spoken, "item", "left_anti")
+    many = classes.agg(F.sum("n") - F.count(F.lit(1))).first()[0]
+    firsts = encoded.join(F.broadcast(spoken) if many <= SPOKEN else spoken, "item", "left_anti") if many else encoded
     pairs = _class_pairs(firsts, encoded.select("item", "v"), model, k, min_similarity, rerank, margin, block)
     return _for_members(encoded.select("item", "key"), classes, pairs, k, min_similarity)
 
