@@ -45,7 +45,7 @@ _STEPS = (
     r"regexp_replace({x}, '\\p{N}+', ' 0 ')",
     r"regexp_replace({x}, '([.!?](?:[ \\u00a0]?[\"”“»’)�])?) +(?=[\\p{Lu}¿¡«\"„“‘(])', '$1 \u0001 \u0003 \u0003 ')",
     r"regexp_replace({x}, '([^\\p{L}\\p{M}0\\s\\x01-\\x03])', ' $1 ')",
-    r"regexp_replace(trim({x}), '\\s*[\\r\\n]\\s*', ' \u0001 \u0002 \u0002 ')",
+    r"regexp_replace(trim({x}), '[\\r\\n]\\s*', ' \u0001 \u0002 \u0002 ')",
     r"regexp_replace(concat('\u0002 \u0002 ', {x}, ' \u0001'), '[ \\t\\x0B\\f\\u00a0]{2,}|[\\t\\x0B\\f\\u00a0]', ' ')",
 )
 _CLASS = r"regexp_replace({x}, '(?<!\\S)\\p{Lu}\\S*', 'X')"
@@ -65,9 +65,8 @@ def _class(x: str) -> str:
 _TRIGRAMS = r"""transform(array(split(line, ' ')), a -> transform(slice(a, 1, greatest(size(a) - 3, 0)), (w, i) -> IF(w = '\u0001' OR a[i + 1] = '\u0001' OR a[i + 2] = '\u0001', NULL,
   concat(w, ' ', a[i + 1], ' ', a[i + 2], ' ', IF(a[i + 3] = '\u0001', '\u0001', '')))))[0]"""
 #: The first 3 to 6 tokens of each line, from what stands between the lines' starts.
-_ANCHORED = r"""flatten(transform(slice(split(line, '\\x02 \\x02 '), 2, 1000000000), l -> filter(transform(array(3, 4, 5, 6), k -> concat('\u0002 ', substring_index(l, ' ', k), ' ',
-  IF(substring(l, length(substring_index(l, ' ', k)) + 2, 1) = '\u0001', '\u0001', ''), repeat('\u0003', CAST(length(substring_index(l, ' ', k)) = length(l) AS INT)))),
-  g -> NOT rtrim('\u0001', g) RLIKE '[\\x01\\x03\\t-\\r]')))"""
+_ANCHORED = r"""flatten(transform(slice(split(line, '\\x02 \\x02 '), 2, 1000000000), l -> filter(transform(transform(array(3, 4, 5, 6), k -> substring_index(l, ' ', k)),
+  p -> IF(p = l, NULL, concat('\u0002 ', p, ' ', IF(startswith(l, concat(p, ' \u0001')), '\u0001', '')))), g -> NOT rtrim('\u0001', g) RLIKE '[\\x01\\x03\\t-\\r]')))"""
 #: (gram, n, ends): trigrams; and the first 3 to 6 tokens of lines, which begin with one \x02 and have 3 blanks or more.
 GRAMS = rf"""
 SELECT gram, sum(n) AS n, sum(IF(ended, n, 0)) AS ends FROM (
