@@ -37,11 +37,17 @@ SPREAD = 65_536
 
 _MARKS = r"(?:\\s*(?:…|\\.{3,}|â€¦|\\[\\.\\.\\.\\]))+\\s*$"
 #: What every mark of _MARKS holds: texts without any need no search for them.
-_HAS_MARK = " OR ".join(f"contains({{x}}, '{m}')" for m in ("…", "...", "â€¦"))
+_HAS_MARK = " OR ".join(f"contains(x, '{m}')" for m in ("…", "...", "â€¦"))
+
+
+def _unmarked(x: str, flags: str) -> str:
+    return f"transform(array({x}), x -> IF({_HAS_MARK}, regexp_replace(x, '{flags}{_MARKS}', ''), x))[0]"
+
+
 #: Steps to tokens with a blank between any two. \x01 ends a line or sentence, two \x02 begin a line, two \x03 a sentence.
 _STEPS = (
     r"replace(replace(replace({x}, '\u0001', ' '), '\u0002', ' '), '\u0003', ' ')",
-    r"transform(array({x}), x -> IF(" + _HAS_MARK.replace("{x}", "x") + r", regexp_replace(x, '(?m)" + _MARKS + "', ''), x))[0]",
+    _unmarked("{x}", "(?m)"),
     r"regexp_replace({x}, '\\p{N}+', ' 0 ')",
     r"regexp_replace({x}, '([.!?](?:[ \\u00a0]?[\"”“»’)�])?) +(?=[\\p{Lu}¿¡«\"„“‘(])', '$1 \u0001 \u0003 \u0003 ')",
     r"regexp_replace({x}, '([^\\p{L}\\p{M}0\\s\\x01-\\x03])', ' $1 ')",
@@ -105,7 +111,7 @@ SELECT raw, concat(head, left(word, k)) AS kind, sum(n) AS longer FROM (
 GROUP BY 1, 2
 """
 _LAST_LINE = r"substring_index(replace(trim(TRAILING ' \t\r\n\u00a0' FROM text), '\r', '\n'), '\n', -1)"
-_TAIL = rf"right(regexp_replace(right(trim(TRAILING ' \t\r\n\u00a0' FROM text), {TAIL + 40}), '{_MARKS}', ''), {TAIL})"
+_TAIL = rf"right({_unmarked(rf"right(trim(TRAILING ' \t\r\n\u00a0' FROM text), {TAIL + 40})", "")}, {TAIL})"
 #: The last line of each text: its final trigram, and the whole line if it has 3 to 6 tokens and one sentence.
 ENDINGS = rf"""
 SELECT id, source, body, tail, gram, IF(substring_index(line, ' ', 1) = '\u0002' AND size(split(line, ' ')) BETWEEN 6 AND 9 AND instr(line, '\u0003') = 0, substring(line, 3, length(line) - 4), '') AS whole FROM (
