@@ -374,7 +374,7 @@ def _text(span: str, quoted: bool) -> str:
 
 
 def _contexts(candidates: str):
-    """(side, piece, low, high): what stands right (side 1) or left (-1) of each piece, as the least and greatest hash; and (side 0) kinds between two pieces."""
+    """(side, piece, low, high): what stands right (side 1) or left (-1) of each piece, as the least and greatest hash; and (side 0) how often a kind stands between a piece and the next."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cutter, hashes = Cutter(candidates), Hashes()
@@ -395,9 +395,9 @@ def _contexts(candidates: str):
                     key = cutter.number[gap], names[n], names[n + 1]
                     between[key] = between.get(key, 0) + 1
             to = lambda x: x - 2**64 if x >= 2**63 else x
-            rows = [(s, to(p), to(lo), to(hi), 0, 0) for (s, p), (lo, hi) in ends.items()]
-            rows += [(0, to(a), to(b), 0, k, n) for (k, a, b), n in between.items()]
-            yield pd.DataFrame(rows, columns=["side", "piece", "low", "high", "kind", "n"])
+            rows = [(s, to(p), 0, 0, to(lo), to(hi), 0) for (s, p), (lo, hi) in ends.items()]
+            rows += [(0, to(a), to(b), k, 0, 0, n) for (k, a, b), n in between.items()]
+            yield pd.DataFrame(rows, columns=["side", "piece", "next", "kind", "low", "high", "n"])
 
     return run
 
@@ -409,10 +409,11 @@ def find_delimiters(fields: DataFrame, column: str = "field") -> str:
     if not others:
         return DELIMITERS
     candidates = DELIMITERS + "".join(others)
-    rows = settle(fields.select(F.col(column).alias("field")).mapInPandas(_contexts(candidates), "side int, piece long, low long, high long, kind int, n long"))
+    rows = fields.select(F.col(column).alias("field")).mapInPandas(_contexts(candidates), "side int, piece long, next long, kind int, low long, high long, n long")
     # whether anything else ever stands there: the least and the greatest differ. Both are of signed numbers, as any order will do
-    free = rows.where("side <> 0").groupBy("side", "piece").agg((F.min(F.least("low", "high")) != F.max(F.greatest("low", "high"))).alias("free")).where("free")
-    pairs = rows.where("side = 0").groupBy("kind", "piece", F.col("low").alias("next")).agg(F.sum("n").alias("n"))
+    rows = rows.groupBy("side", "piece", "next", "kind").agg(F.min(F.least("low", "high")).alias("low"), F.max(F.greatest("low", "high")).alias("high"), F.sum("n").alias("n"))
+    rows = settle(rows)
+    free, pairs = rows.where("side <> 0 AND low <> high"), rows.where("side = 0")
     left, right = (free.where(F.col("side") == s).select(F.col("piece").alias(c), F.lit(1).alias(f"{c}_free")) for s, c in ((1, "piece"), (-1, "next")))
     shares = pairs.join(left, "piece", "left").join(right, "next", "left").groupBy("kind")
     shares = shares.agg((F.sum(F.when(F.col("piece_free").isNotNull() & F.col("next_free").isNotNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
