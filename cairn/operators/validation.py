@@ -58,7 +58,7 @@ def grouping_checks(split: DataFrame) -> list[DataFrame]:
 def shape_checks(split: DataFrame, profiles: DataFrame, genres: DataFrame, candidates: DataFrame, negatives: int) -> list[DataFrame]:
     """Profiles cover all users, genres all items, and each user's candidates in val and test are one more than the negatives."""
     users, items = split.select("user").distinct(), split.select("item").distinct()
-    sizes = users.crossJoin(candidates.sparkSession.createDataFrame([("val",), ("test",)], "split string"))  # two splits
+    sizes = users.withColumn("split", F.explode(F.array(F.lit("val"), F.lit("test"))))
     sizes = sizes.join(candidates.groupBy("split", "user").agg(F.count(F.lit(1)).alias("n")), ["split", "user"], "full")
     return [
         _none(users.join(profiles, "user", "left_anti").unionByName(profiles.select("user").distinct().join(users, "user", "left_anti")), "profiles_shape"),

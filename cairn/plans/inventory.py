@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cairn import cli
 from cairn.config import PrepareConfig, RerankWeights, TrainConfig
+from cairn.functions.rows import side_by_side
 from cairn.operators import candidates as C
 from cairn.operators import profiles as P
 from cairn.operators import scoring as S
@@ -209,7 +210,7 @@ def model_state(spark: SparkSession, d: str) -> DataFrame:
         key, state = side[:-1], getattr(again, side)
         theirs = again.vectors(side).select(F.col("id").cast("int").alias(key), F.col("vec").alias("again"))
         same = mine.join(theirs, key, "full").agg(F.coalesce(F.bool_and(F.col("vec").eqNullSafe(F.col("again"))), F.lit(False)).alias("same"))
-        part = state.agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("x")).alias("numbers")).crossJoin(same).select(F.lit(side).alias("side"), "n_rows", "numbers", "same")  # one row each
+        part = side_by_side(state.agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("x")).alias("numbers")), same).select(F.lit(side).alias("side"), "n_rows", "numbers", "same")
         rows = part if rows is None else rows.unionByName(part)
     return rows
 

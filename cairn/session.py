@@ -7,8 +7,10 @@ checkpoints or by tables written below ``spark.checkpoint.dir``, which all execu
 from __future__ import annotations
 
 import re
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,6 +78,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a session that doesn't have it installed."""
+    home = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="cairn-ship-")  # on the driver, from where executors fetch it
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/cairn-package", "zip", home.parent, home.name))
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables, by name."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
