@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.functions.rows import side_by_side
 from cairn.session import settle
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -168,14 +169,14 @@ def packing_faults(laid: DataFrame, counted: DataFrame, doc_id: str, capacity: i
     texts = laid.groupBy(doc_id).agg(F.sum("n_tokens").alias("laid"), F.max("piece").alias("pieces"))
     want = counted.groupBy(F.col("id").alias(doc_id)).agg(F.sum("n").alias("counted"), F.max("n").alias("longest"))
     both = texts.join(want.where("counted > 0"), doc_id, "full")
-    row = spans.agg(F.count_if((F.col("used") > capacity) | (F.col("end") > capacity) | (F.col("first") != 0)).alias("n_overfull"))
-    row = row.crossJoin(apart.agg(F.coalesce(F.sum("apart"), F.lit(0)).alias("n_apart")))  # one row each
-    return row.crossJoin(
+    return side_by_side(
+        spans.agg(F.count_if((F.col("used") > capacity) | (F.col("end") > capacity) | (F.col("first") != 0)).alias("n_overfull")),
+        apart.agg(F.coalesce(F.sum("apart"), F.lit(0)).alias("n_apart")),
         both.agg(
             F.count(F.lit(1)).alias("n_texts"),
             F.count_if((F.col("pieces") > 0) & (F.col("longest") <= capacity)).alias("n_divided"),
             F.count_if(~F.col("laid").eqNullSafe(F.col("counted"))).alias("n_lost"),
-        )
+        ),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions.rows import side_by_side
 from cairn.llm.cooccur import pairs
 from cairn.llm.leaks import find_leaks, leaked_shares
 from cairn.llm.packing import VOCABULARY, count_tokens, pack_texts, packing_faults, packing_report
@@ -45,7 +46,7 @@ def p7_checks(spark: SparkSession, d: str) -> DataFrame:
     docs = tables(spark, d, "documents")
     laid = settle(pack_texts(docs, "doc_id", "text", "source", capacity=2048, vocabulary=VOCABULARY))
     faults = packing_faults(laid, count_tokens(docs, "doc_id", "text", "source", VOCABULARY), "doc_id", 2048)
-    return faults.crossJoin(packing_report(laid, "source", 2048).select((F.col("fill") >= 0.99).alias("filled")))  # one row each
+    return side_by_side(faults, packing_report(laid, "source", 2048).select((F.col("fill") >= 0.99).alias("filled")))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
