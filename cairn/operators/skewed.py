@@ -58,8 +58,8 @@ def heavy_hashes(rows: DataFrame, key: Column, heavy_share: float) -> list[int]:
 
     The sketch tracks ``16 / heavy_share`` keys, which bounds its error by a quarter of ``heavy_share``.
     """
-    most = math.ceil(2 / heavy_share)
-    sketch = F.call_function("approx_top_k", key, F.lit(most), F.lit(min(max(16, 8 * most), 1_000_000)))
+    most = min(math.ceil(2 / heavy_share), 125_000)  # of the sketch's limit of a million tracked keys; fewer cost balance only
+    sketch = F.call_function("approx_top_k", key, F.lit(most), F.lit(max(16, 8 * most)))
     found = rows.agg(sketch.alias("top"), F.count(F.lit(1)).alias("n")).first()
     return sorted(t["item"] for t in found["top"] or [] if t["count"] >= 0.75 * heavy_share * found["n"])
 

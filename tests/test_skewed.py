@@ -17,7 +17,7 @@ def brute(data):
     return out
 
 
-@pytest.mark.parametrize("share,salts", [(0.5, 1), (0.05, 7), (0.0001, 64), (1.0, 3)])
+@pytest.mark.parametrize("share,salts", [(0.5, 1), (0.05, 7), (0.0001, 64), (1e-7, 5), (1.0, 3)])
 def test_same_as_plain_sums(spark, rows, share, salts):
     rng = random.Random(1)
     data = [(rng.choice([1, 1, 1, 1, rng.randint(2, 90), None]), rng.choice([None, rng.randint(-5, 5)])) for _ in range(2000)] + [(500, None)]
