@@ -6,6 +6,7 @@ checkpoints or by tables written below ``spark.checkpoint.dir``, which all execu
 
 from __future__ import annotations
 
+import gc
 import re
 import shutil
 import tempfile
@@ -78,6 +79,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of shuffles and checkpoints that nothing refers to any more.
+
+    Spark removes them when the driver collects its garbage, which in a loop of few and large jobs may never come.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors of a session that doesn't have it installed."""
     home = Path(__file__).resolve().parent

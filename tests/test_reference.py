@@ -231,6 +231,34 @@ def test_training_learns(spark, block_rows, item_block):
     assert np.mean([s[20 * (u % 2) :][:20].mean() > s.mean() for u, s in scores.items()]) > 0.9
 
 
+def test_a_stratum_keeps_pieces_not_rows(spark, monkeypatch):
+    """What a stratum keeps are some pieces of state, though each user and item has one row in the model."""
+    kept, settle = [], training.settle
+    monkeypatch.setattr(training, "settle", lambda df: kept.append(settle(df)) or kept[-1])
+    data = spark.range(12_000).select((F.col("id") % 6000).cast("int").alias("user"), (F.col("id") * 7 % 5000).cast("int").alias("item"))
+    config = TrainConfig(dim=2, batch_size=64, steps_per_epoch=16, blocks=2)
+    model = training.train(data, spark.range(5000).select(F.col("id").cast("int").alias("item")), config, item_block=3000)
+    assert kept[-1].count() < 50
+    for rows, n in ((model.users, 6000), (model.items, 5000)):
+        assert rows.count() == rows.select("id").distinct().count() == rows.where(F.size("x") == 9).count() == n
+
+
+def test_pieces_are_averaged_by_touches():
+    """Rows of several units by how often each was touched; a row none touched stays as it was."""
+    sent = [(np.array([1.0, 5.0, 7.0]), np.array([1, 2, 0])), (np.array([4.0, 3.0, 7.0]), np.array([2, 0, 0]))]
+    batches = [training._batch([("item", 0, 3, np.arange(3), x, w)], training._PIECE) for x, w in sent]
+    (found,) = training._merged(iter(batches))
+    assert np.allclose(np.frombuffer(found["x"][0].as_py()), [3.0, 5.0, 7.0]) and found["piece"][0].as_py() == 3
+
+
+def test_first_state_is_normal_and_of_the_id_alone():
+    config = TrainConfig(dim=16)
+    first = training.fresh(1, np.arange(5000), config)
+    assert np.array_equal(first[[7, 4000]], training.fresh(1, np.array([7, 4000]), config)) and not first[:, 16:].any()
+    assert abs(first[:, :16].mean()) < 0.001 and first[:, :16].std() == pytest.approx(0.05, rel=0.02)
+    assert abs(np.corrcoef(first[:, :16].T) - np.eye(16)).max() < 0.06 and not np.isin(first[:, 0], training.fresh(2, np.arange(5000), config)[:, 0]).any()
+
+
 def test_a_user_of_all_items_stops_training(spark):
     rows = spark.createDataFrame([(1, i) for i in range(3)], "user int, item int")
     with pytest.raises(Exception, match="seen every item"):
