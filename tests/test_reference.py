@@ -243,6 +243,32 @@ def test_a_stratum_keeps_pieces_not_rows(spark, monkeypatch):
         assert rows.count() == rows.select("id").distinct().count() == rows.where(F.size("x") == 9).count() == n
 
 
+def test_a_step_of_the_towers(monkeypatch):
+    """Positives and negatives pass together and all weights step at once, as if each had by itself."""
+    rng = np.random.default_rng(5)
+    config = TrainConfig("two-tower", dim=3, hidden=6)
+    parts = [x for _ in range(2) for x in training.Tower.new(5, 6, 3, rng).parts()]
+    shapes, count = [x.shape for x in parts], sum(x.size for x in parts)
+    flat = np.concatenate([*(x.ravel() for x in parts), rng.normal(size=count) / 9, rng.random(count) / 9])
+    towers, old = training.Towers.of(flat, shapes, 4, config), flat.copy()
+    users, items = (training.Rows(np.hstack([rng.normal(size=(7, 4)), np.zeros((7, 8))]), 3, 4, 0.01) for _ in range(2))
+    profile, hot, (u, p, n) = rng.random((7, 2)), rng.random((7, 2)), rng.integers(0, 7, (3, 20))
+    inputs = [np.hstack([x[ids, :3], f[ids]]) for x, f, ids in ((users.state.copy(), profile, u), (items.state.copy(), hot, p), (items.state.copy(), hot, n))]
+    mine, theirs = training.Tower(*parts[:4]), training.Tower(*parts[4:])
+    (yu, ku), (yp, kp), (yn, kn) = (t.forward(x) for t, x in zip((mine, theirs, theirs), inputs))
+    loss, du, dp, dn = training.tower_loss(yu, yp, yn)
+    grads = mine.backward(yu, ku, du)[0] + [a + b for a, b in zip(theirs.backward(yp, kp, dp)[0], theirs.backward(yn, kn, dn)[0])]
+    want = []
+    for x, m, v, g in zip(parts, *(training.unpack(y, shapes) for y in np.split(old, 3)[1:]), grads):
+        x, adam = x.copy(), training.LazyAdam(m.copy(), v.copy(), 4, config.learning_rate, config.weight_decay)
+        adam.step(x, slice(None), g)
+        want.append(x.ravel())
+    steps, step = [], training.LazyAdam.step
+    monkeypatch.setattr(training.LazyAdam, "step", lambda *a: steps.append(1) or step(*a))
+    assert training._tower_steps(users, items, (towers, profile, hot), u, p, n, config) == pytest.approx(loss)
+    assert np.allclose(towers.flat()[:count], np.concatenate(want)) and len(steps) == 3 and np.array_equal(flat, old)
+
+
 def test_pieces_are_averaged_by_touches():
     """Rows of several units by how often each was touched; a row none touched stays as it was."""
     sent = [(np.array([1.0, 5.0, 7.0]), np.array([1, 2, 0])), (np.array([4.0, 3.0, 7.0]), np.array([2, 0, 0]))]
