@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn import cli
-from cairn.config import PrepareConfig, RerankWeights, TrainConfig
+from cairn.config import NO_GENRES, PrepareConfig, RerankWeights, TrainConfig
 from cairn.functions.rows import side_by_side
 from cairn.operators import candidates as C
 from cairn.operators import profiles as P
@@ -20,6 +20,7 @@ from cairn.operators import split as D
 from cairn.operators import training as L
 from cairn.operators.encode import strays
 from cairn.operators.kcore import k_core
+from cairn.operators.packed import split_packed
 from cairn.plans import oracles as O
 from cairn.plans import reference as R
 from cairn.plans.pipeline import evaluate, fit
@@ -215,6 +216,13 @@ def model_state(spark: SparkSession, d: str) -> DataFrame:
     return rows
 
 
+def _whole_genres(movies: DataFrame, items: DataFrame) -> DataFrame:
+    """(item, genre), each once: all values of all listings of the ``items`` (item), in whatever notation; NO_GENRES where there are none."""
+    found = split_packed(movies, "item_idx", "genres", value_name="genre").where(F.col("genre") != NO_GENRES)
+    found = found.select(F.col("item_idx").alias("item"), "genre").distinct()
+    return found.join(items.distinct(), "item", "right").select("item", F.coalesce("genre", F.lit(NO_GENRES)).alias("genre"))
+
+
 def _quality(spark: SparkSession, d: str, kind: str) -> DataFrame:
     """Whether the loss of a model trained on the train table falls, and whether it ranks better than chance by a tenth at 10."""
     rows = tables(spark, d, "train").where("user_idx IS NOT NULL AND item_idx IS NOT NULL AND ts > 0")
@@ -224,10 +232,10 @@ def _quality(spark: SparkSession, d: str, kind: str) -> DataFrame:
     known = core.select("item").distinct().count()
     met = core.groupBy("user").agg(F.count_distinct("item").alias("met")).where(F.col("met") <= known - NEGATIVES).select("user")
     split = settle(D.chronological_split(core.join(met, "user", "left_semi"), ["ts", "item"]))
-    genres = tables(spark, d, "movies").where("item_idx IS NOT NULL").groupBy(F.col("item_idx").alias("item")).agg(F.min("genres").alias("genres"))
-    genres = P.item_genres(genres.join(core.select("item").distinct(), "item", "right"))
-    genres = genres.withColumn("genre", F.upper(F.substring("genre", 1, 1))).distinct()
-    data = {"split": split, "catalogue": core.select("item"), "item_genre": genres, "profiles": P.user_profiles(split.where("split = 'train'"), P.item_shares(genres))}
+    data = {"split": split, "catalogue": core.select("item")}
+    if kind == "two-tower":  # the other model takes no features
+        genres = settle(_whole_genres(tables(spark, d, "movies"), core.select("item")))
+        data |= {"item_genre": genres, "profiles": P.user_profiles(split.where("split = 'train'"), P.item_shares(genres))}
     users, items, model = fit(data, TrainConfig(model=kind, dim=16, hidden=32, epochs=4, batch_size=256))
     positives = D.latest(split.where("split = 'test'"))
     cands = C.eval_candidates(positives, split, core.select("item"), NEGATIVES, {"test": 7})
